@@ -10,6 +10,8 @@ _INV = pow(_BASE, -1, 1 << 64)
 _CODE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Everything in ASCII but letters and digits.
+MARKS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _SPAN = 1 << 20
 _powers: dict[str, np.ndarray] = {}
 
@@ -46,7 +48,7 @@ def span(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return (sums[end] - sums[start]) * _grown(len(sums))[1][start]
 
 
-def words(data: bytes, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: bytes, lower: bool = True, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end) of each word; A-Z are taken as a-z first if ``lower``. Long texts go span by span."""
     if lower:
         data = data.lower()
@@ -55,15 +57,15 @@ def words(data: bytes, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.n
     while at < len(raw):
         stop = min(len(raw), at + _SPAN)
         if stop < len(raw):
-            gap = np.flatnonzero(SPACE[raw[at:stop]])
+            gap = np.flatnonzero(gaps[raw[at:stop]])
             while not len(gap) and stop < len(raw):
                 stop = min(len(raw), stop + _SPAN)
-                gap = np.flatnonzero(SPACE[raw[at:stop]])
+                gap = np.flatnonzero(gaps[raw[at:stop]])
             stop = at + int(gap[-1]) + 1 if len(gap) and stop < len(raw) else stop
         part = raw[at:stop]
         edge = np.empty(len(part) + 2, np.int8)
         edge[0] = edge[-1] = 1
-        edge[1:-1] = SPACE[part]
+        edge[1:-1] = gaps[part]
         step = np.diff(edge)
         start, end = np.flatnonzero(step == -1), np.flatnonzero(step == 1)
         found.append((mix(span(prefix(part), start, end)), start + at, end + at))

@@ -6,19 +6,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as _decontaminate
+from . import language as _language
+from . import lm_scoring as _lm_scoring
+from . import near_dedup as _near_dedup
+from . import packing as _packing
 from . import quality as _quality
 from . import sharding as _sharding
+from . import token_count as _token_count
+from . import toxicity as _toxicity
+from ._shared import held_out
+
+
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return _lm_scoring.lm_score(docs.withColumn("held_out", held_out(F.col("doc_id"), 7)))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _quality.quality(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_stop")
 
 
+def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _token_count.count_tokens(_read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = _toxicity.fit(docs.where(~held_out(F.col("doc_id"), 4)), _read(spark, sf_dir, "labels"))
+    return _toxicity.score(docs, model).select(
+        "doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("segments").alias("n_segments")
+    )
+
+
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sharding.assign_shards(_read(spark, sf_dir, "documents"), shards=40)
 
@@ -27,5 +61,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), width=10)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op7_sharding, op8_decontamination)}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packing.pack(_read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), width=1024, end_id=0)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = _language.fit(docs.where(~held_out(F.col("doc_id"), 4)), tokenizer("piece_bpe_32k.model"))
+    return _language.identify(docs, model).select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "lang_pred", "score", "n_words")
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_token_count, op5_toxicity, op6_minhash_near_dedup, op7_sharding, op8_decontamination, op9_packing, op10_language_id)}
 SQL: dict[str, str] = {}
