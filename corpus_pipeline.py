@@ -1,13 +1,54 @@
-"""The corpus pipeline: stages over ``documents``."""
+"""Documents to packed training sequences, in five stages; each works on what the one before kept.
+
+``STAGES`` are (name, function) pairs. A function takes (spark, docs, sf_dir) and returns a DataFrame: all but the last
+the columns of ``documents``, the last the pieces of packed sequences.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from vectrill.llm import decontaminate, language, line_dedup, near_dedup, packing
+from vectrill.llm._shared import Cut, without
+from vectrill.llm.queries import tokenizer
+
+#: Line dedup, near-dedup and packing are not SQL; the stages are tested one by one against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or without a language that scores half or more, go."""
+    return language.keep_identified(docs, language.fit(docs, tokenizer("piece_bpe_32k.model")))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated and nearly repeated lines go, and with them documents of which no word is left."""
+    return line_dedup.dedup_lines(docs).where(r"text RLIKE '[^\\x20\\x09-\\x0D]'")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five words, Jaccard 0.8) the smallest id stays."""
+    found = near_dedup.near_duplicates(docs, width=5, percent=80)
+    return without(docs, found.where("NOT kept").select("doc_id"))
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of ten words, or all words, of a benchmark item go."""
+    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10)
+    return without(docs, found.where("contaminated").select("doc_id"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of sequences of 1024 tokens."""
+    return packing.pack(docs, tokenizer("byte_bpe_50k.json"), width=1024, end_id=0)
+
+
+STAGES = [("language ID", identify), ("line dedup", lines), ("near-dedup", near), ("decontamination", clean), ("packing", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what each returns is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = Cut(stage(spark, docs, sf_dir), name.replace(" ", "-")).df
+    return STAGES[-1][1](spark, docs, sf_dir)
