@@ -70,5 +70,13 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(F.col(column)).cast("long")), F.lit(0)).alias("n")).first()["n"]
 
 
+def without(docs: DataFrame, ids: DataFrame, most: int = 500_000) -> DataFrame:
+    """Rows of ``docs`` whose doc_id isn't in ``ids``. The ids are counted: up to ``most`` are broadcast, more are joined
+    by shuffle. A row without an id is named by none and stays."""
+    gone = Cut(ids.where("doc_id IS NOT NULL").distinct(), "ids")
+    few = gone.df.count() <= most
+    return docs.join(F.broadcast(gone.df) if few else gone.df, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -36,14 +36,24 @@ def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def prefix(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial over bytes; ``span`` reads the hash of any range of them."""
-    up, _ = _grown(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_CODE[data] * up[: len(data)], out=out[1:])
+def prefix_of(codes: np.ndarray) -> np.ndarray:
+    """Prefix sums of a polynomial over 64-bit codes; ``span`` reads the hash of any range of them."""
+    up, _ = _grown(len(codes) + 1)
+    out = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * up[: len(codes)], out=out[1:])
     return out
 
 
+def prefix(data: np.ndarray) -> np.ndarray:
+    """The same over bytes."""
+    return prefix_of(_CODE[data])
+
+
+def down(at: int) -> np.uint64:
+    """What brings a range that starts at ``at`` to start at 0."""
+    return _grown(at + 1)[1][at]
+
+
 def span(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return (sums[end] - sums[start]) * _grown(len(sums))[1][start]
 

@@ -236,3 +236,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield batch([b.column(0), *zip(*model.texts(b.column(1).to_pylist()), strict=True)], shape) if b.num_rows else batch([[], [], [], []], shape)
 
     return mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, PREDICTED)
+
+
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """Rows of ``docs`` (text and any others) with a language whose score is at least ``least``."""
+    few_rows(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model.open()
+        for b in batches:
+            found = model.texts(b.column(at).to_pylist()) if b.num_rows else []
+            yield b.filter(pa.array([lang != "und" and score >= least for lang, score, _ in found], pa.bool_()))
+
+    return mapped(docs, run, docs.schema)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as _decontaminate
 from . import language as _language
+from . import line_dedup as _line_dedup
 from . import lm_scoring as _lm_scoring
 from . import near_dedup as _near_dedup
 from . import packing as _packing
@@ -41,6 +42,11 @@ def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _token_count.count_tokens(_read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _line_dedup.dedup_lines(_read(spark, sf_dir, "documents"), counts=True)
+    return out.select("doc_id", "n_lines", "n_repeated", "n_near", "n_kept", F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = _toxicity.fit(docs.where(~held_out(F.col("doc_id"), 4)), _read(spark, sf_dir, "labels"))
@@ -71,5 +77,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _language.identify(docs, model).select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "lang_pred", "score", "n_words")
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_token_count, op5_toxicity, op6_minhash_near_dedup, op7_sharding, op8_decontamination, op9_packing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_token_count, op4_line_dedup, op5_toxicity, op6_minhash_near_dedup, op7_sharding, op8_decontamination, op9_packing, op10_language_id)}
 SQL: dict[str, str] = {}
