@@ -10,7 +10,8 @@ the unknown one. A text is traversed once from left to right, the state being th
 Plan. Documents are dealt into blocks of about ``BLOCK`` bytes by a hash of the row. Each block asks for the counts of
 its distinct words and pairs, adding those it has seen in training rows; requests travel as sorted columns of hashes,
 one parcel for each of ``parts`` shares of the vocabulary. A share sums the counts of its words and pairs from all
-blocks and sends back numbers in the order of each request. The block builds the part of the automaton that its own
+blocks and sends back numbers in the order of each request; every block asks every share, and so gets the counts of
+counts of all pairs too. The block builds the part of the automaton that its own
 texts can reach, and traverses them. So a task holds one block or one share, whatever the corpus grows to, and what
 travels is proportional to the input. A share is that of a pair's context, where T(u) is then exact. Contexts so
 frequent that they hold more than 1/``HOT`` of all tokens, ``HOT`` of them at most, are spread over all shares
@@ -26,7 +27,7 @@ scores like any other; without training rows all tokens are unknown, with probab
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -100,7 +101,7 @@ def _parcels(share: np.ndarray, parts: int, *columns: np.ndarray) -> Iterator[tu
 
 
 def facts(train: DataFrame, parts: int) -> Facts:
-    """Totals, discounts and frequent contexts of the training rows (text), from two scans."""
+    """Totals, the words' discount and frequent contexts of the training rows (text), from two scans."""
     parcel = "part int, keys binary, counts binary"
     shape = arrow_schema(parcel)
 
@@ -161,22 +162,19 @@ def facts(train: DataFrame, parts: int) -> Facts:
         k = (pair(prev[is_hot], seq[is_hot]) << bits) | at[is_hot].astype(np.uint64)
         return grouped(k, np.ones(len(k)))
 
-    after = "context int, successors long, n1 long, n2 long"
+    after = "context int, successors long"
     after_shape = arrow_schema(after)
 
     def successors(key, got):
         k, n = summed(got)
         at = (k & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        t, one, two = (np.bincount(at, x, len(known.hot)).astype(np.int64) for x in (n > 0, n == 1, n == 2))
+        t = np.bincount(at, n > 0, len(known.hot)).astype(np.int64)
         use = np.flatnonzero(t)
-        return table([use, t[use], one[use], two[use]], after_shape)
+        return table([use, t[use]], after_shape)
 
     got = mapped(train.select("text"), sums(pairs), parcel).groupBy("part").applyInArrow(successors, after)
-    n1 = n2 = 0
-    for r in got.groupBy("context").agg(F.sum("successors").alias("t"), F.sum("n1").alias("n1"), F.sum("n2").alias("n2")).collect():
+    for r in got.groupBy("context").agg(F.sum("successors").alias("t")).collect():
         out.hot_successors[r["context"]] = r["t"]
-        n1, n2 = n1 + r["n1"], n2 + r["n2"]
-    out.d2 = discount(n1, n2)
     return out
 
 
@@ -210,12 +208,11 @@ class Request:
         pcut = np.searchsorted(self.pair_share[p], np.arange(self.parts + 1))
         for s in range(self.parts):
             a, b = w[wcut[s] : wcut[s + 1]], p[pcut[s] : pcut[s + 1]]
-            if len(a) or len(b):
-                u, n = np.unique(self.context[b], return_counts=True)
-                yield (
-                    s, planes(self.words[a]), planes(self.word_counts[a].astype(np.uint64)), planes(u), planes(n.astype(np.uint64)),
-                    planes(self.next[b], 6), planes(self.pair_counts[b].astype(np.uint64)),
-                )
+            u, n = np.unique(self.context[b], return_counts=True)
+            yield (
+                s, planes(self.words[a]), planes(self.word_counts[a].astype(np.uint64)), planes(u), planes(n.astype(np.uint64)),
+                planes(self.next[b], 6), planes(self.pair_counts[b].astype(np.uint64)),
+            )
 
     def answered(self, answers: dict[int, tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Counts and successors of ``words`` and counts of ``pairs`` over the whole corpus."""
@@ -276,7 +273,7 @@ def lm_score(docs: DataFrame, held_out: str = "held_out", block_bytes: int = BLO
         own = [(key[0].as_py(), *r) for r in request(got).parcels()]
         return table(list(zip(*own, strict=True)), ask_shape)
 
-    reply = "block long, part int, c binary, t binary, cp binary"
+    reply = "block long, part int, c binary, t binary, cp binary, once long, twice long"
     reply_shape = arrow_schema(reply)
 
     def answer(key, got):
@@ -293,11 +290,11 @@ def lm_score(docs: DataFrame, held_out: str = "held_out", block_bytes: int = BLO
             at = np.minimum(np.searchsorted(us, words), len(us) - 1)
             successors = np.where(us[at] == words, t[at], 0)
         out = []
-        ends = np.cumsum([len(p) for p in pairs])
+        ends, once, twice = np.cumsum([len(p) for p in pairs]), int((cp == 1).sum()), int((cp == 2).sum())
         for i, block in enumerate(got["block"].to_pylist()):
             w = np.searchsorted(words, col["words"][i])
             own = cp[inv[ends[i] - len(pairs[i]) : ends[i]]]
-            out.append((block, part, planes(c[w].astype(np.uint64)), planes(successors[w].astype(np.uint64)), planes(own.astype(np.uint64))))
+            out.append((block, part, planes(c[w].astype(np.uint64)), planes(successors[w].astype(np.uint64)), planes(own.astype(np.uint64)), once, twice))
         return table(list(zip(*out, strict=True)), reply_shape)
 
     shape = arrow_schema(SCORED)
@@ -308,7 +305,8 @@ def lm_score(docs: DataFrame, held_out: str = "held_out", block_bytes: int = BLO
         r, text = request(texts), texts["text"].to_pylist()
         got = zip(answers["part"].to_pylist(), answers["c"].to_pylist(), answers["t"].to_pylist(), answers["cp"].to_pylist(), strict=True)
         c, t, cp = r.answered({p: x for p, *x in got})
-        model = Automaton(known, r.words, c, t, r.pairs, cp, r.context)
+        d2 = discount(*(sum(answers[x].to_pylist()) for x in ("once", "twice")))  # every share has answered, so of all pairs
+        model = Automaton(replace(known, d2=d2), r.words, c, t, r.pairs, cp, r.context)
         n, hits, base, score = np.zeros((4, len(text)))
         for seq, prev, doc in stream(text):
             logs, count = model.traverse(seq, prev)
