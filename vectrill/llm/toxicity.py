@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import arrow_schema, batch, few_rows, mapped
+from ._shared import Cut
 from ._words import MARKS, chunks, mix, prefix, span, words
 
 SAMPLE, CANDIDATES, LEXICON, PREFIXES = 40_000, 50_000, 20_000, range(3, 9)
@@ -133,7 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = known.count()
     keep = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) * n < sample * 1_000_000) if n > sample else known
-    taught = docs.select("doc_id", "text").join(keep, "doc_id").limit(2 * sample)
+    # keep has about ``sample`` rows at most, so it can be broadcast; what it meets is written once and read three times
+    taught = Cut(docs.select("doc_id", "text").join(F.broadcast(keep), "doc_id").select("text", "toxic"), "taught").df
 
     pairs = "feature long, clean long, toxic long"
     seen = arrow_schema(pairs)
