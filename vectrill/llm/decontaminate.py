@@ -6,8 +6,9 @@ documents are joined on it alone. The word's offset in the window gives the posi
 start, the window's length bounds it, and the slice of the document there is compared with the window, word for word.
 Rarity is counted over all documents, for the benchmark's words only.
 
-The benchmark's window table is counted first and broadcast while it has at most ``BROADCAST_WINDOWS`` rows; a larger
-one is joined by shuffle, where Spark splits the partitions of hot words (adaptive skew join).
+The benchmark's window table is counted first and broadcast while it has at most ``BROADCAST_WINDOWS`` rows. Places of
+words join a larger one by shuffle, without the texts, where Spark splits the partitions of hot words (adaptive skew
+join); what they find then meets the texts by row.
 
 Defined cases: null and empty texts have no words and no hits; null item ids are left out of ``n_items``; repeated
 rows get equal results; other columns aren't read; an empty benchmark leaves every document clean.
@@ -53,9 +54,15 @@ def matches(words: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
     keys = rare.where("n > 0").select(F.col("r.word").alias("word"), F.col("r.offset").alias("offset"), "window", "items")
     # One row for each prefix word: a document's word then meets one row, however many windows share it.
     keys = keys.groupBy("word").agg(F.collect_list(F.struct("offset", "window", "items")).alias("under"))
-    places = words.where(F.size("words") > 0).select("key", "words", F.posexplode("words").alias("pos", "word"))
+    size = F.size("words").alias("n")
+    held = ["words"] if few else []
+    places = words.where(F.size("words") > 0).select("key", size, *held, F.posexplode("words").alias("pos", "word"))
     met = places.join(hint(keys), "word")
-    fits = lambda u: (F.col("pos") >= u["offset"]) & (F.col("pos") - u["offset"] + F.size(u["window"]) <= F.size("words"))
+    fits = lambda u: (F.col("pos") >= u["offset"]) & (F.col("pos") - u["offset"] + F.size(u["window"]) <= F.col("n"))
+    if not few:
+        found = met.select("key", F.explode(F.filter("under", fits)).alias("u"), "pos").select("key", (F.col("pos") - F.col("u.offset")).alias("start"), "u.window", "u.items")
+        both = found.alias("f").join(words.alias("w"), F.col("f.key").eqNullSafe(F.col("w.key")))
+        return both.where(F.slice("words", F.col("start") + 1, F.size("window")) == F.col("window")).select(F.col("f.key").alias("key"), "start", F.size("window").alias("length"), "items")
     same = lambda u: F.slice("words", F.col("pos") - u["offset"] + 1, F.size(u["window"])) == u["window"]
     found = F.filter("under", lambda u: F.when(fits(u), same(u)).otherwise(F.lit(False)))
     short = F.transform(found, lambda u: F.struct((F.col("pos") - u["offset"]).alias("start"), F.size(u["window"]).alias("length"), u["items"].alias("items")))
