@@ -34,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import arrow_schema, batch, few_rows, mapped, table
+from ._arrow import arrow_schema, batch, few_rows, mapped, release, table
 from ._shared import partitions, text_bytes
 from ._words import chunks, doc_words, mix, planes, unplanes
 
-BLOCK, HOT, FLUSH = 16 << 20, 2048, 8 << 20
+BLOCK, HOT, FLUSH = 11 << 20, 2048, 8 << 20
 START, END = np.uint64(0x517CC1B727220A95), np.uint64(0x2545F4914F6CDD1D)
 _LOW = np.uint64((1 << 48) - 1)
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -190,10 +190,14 @@ class Request:
             u, first, inv = np.unique(k, return_index=True, return_inverse=True)
             pairs.append((u, prev[first], seq[first] & _LOW, np.bincount(inv, t, len(u))))
         self.words, self.word_counts = grouped(np.concatenate([w for w, _ in words]), np.concatenate([c for _, c in words]))
-        k = np.concatenate([p[0] for p in pairs])
+        del words
+        k, context, after, counts = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        del pairs
         self.pairs, first, inv = np.unique(k, return_index=True, return_inverse=True)
-        self.context, self.next = (np.concatenate([p[i] for p in pairs])[first] for i in (1, 2))
-        self.pair_counts = np.bincount(inv, np.concatenate([p[3] for p in pairs]), len(first)).astype(np.int64)
+        del k
+        self.context, self.next = context[first], after[first]
+        self.pair_counts = np.bincount(inv, counts, len(first)).astype(np.int64)
+        del context, after, counts, first, inv
         _, hot = known.place(self.context)
         mod = lambda x: (x % np.uint64(parts)).astype(np.int64)
         self.word_share, self.pair_share = mod(self.words), np.where(hot, mod(self.pairs), mod(self.context))
@@ -270,6 +274,7 @@ def lm_score(docs: DataFrame, held_out: str = "held_out", block_bytes: int = BLO
         return Request(known, got["text"].to_pylist(), ~np.array(got["held_out"].to_pylist(), bool), parts)
 
     def asks(key, got):
+        release()
         own = [(key[0].as_py(), *r) for r in request(got).parcels()]
         return table(list(zip(*own, strict=True)), ask_shape)
 
@@ -277,6 +282,7 @@ def lm_score(docs: DataFrame, held_out: str = "held_out", block_bytes: int = BLO
     reply_shape = arrow_schema(reply)
 
     def answer(key, got):
+        release()
         part = key[0].as_py()
         col = {n: [unplanes(x, 6 if n == "next" else 8) for x in got[n].to_pylist()] for n in ask_shape.names[2:]}
         words, c = grouped(np.concatenate(col["words"]), np.concatenate(col["word_counts"]))
@@ -300,6 +306,7 @@ def lm_score(docs: DataFrame, held_out: str = "held_out", block_bytes: int = BLO
     shape = arrow_schema(SCORED)
 
     def scores(key, texts, answers):
+        release()
         if not texts.num_rows:
             return table([[]] * 7, shape)
         r, text = request(texts), texts["text"].to_pylist()
