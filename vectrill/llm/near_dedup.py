@@ -7,7 +7,8 @@ Candidates. Inverted lists of retained values would be long for common shingles,
 of its rarest retained values only. Two sets with Jaccard at least 0.8 share at least ``t`` retained values (all
 needed ones if a sketch is the whole set, else ``LEAST`` of 128: fewer has probability under 1e-6). Of the values
 ordered by rarity, the first ``size - t + m`` of each must then share at least ``m``. Rarity is a count in 2^18 buckets
-over all documents: a fixed total order of fixed size, whatever the corpus.
+over all documents: a fixed total order of fixed size, whatever the corpus. Where two classes meet in a list, ``t`` is
+that of their two sizes, mostly a larger one, and the value's place in both orders must lie in the then shorter heads.
 
 First each list links its members to its smallest class only; verified links make components. Then lists whose
 members are still in several components give the pairs across components, all of them: a pair within a component
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import arrow_schema, batch, few_rows, mapped
@@ -35,7 +36,7 @@ from ._shared import Cut
 from ._words import chunks, doc_words, mix, planes, unplanes
 from .components import components
 
-SKETCH, LEAST, SHARED, BUCKETS, MASK = 128, 80, 8, 18, 20
+SKETCH, LEAST, SHARED, BUCKETS, MASK = 128, 80, 4, 18, 20
 SET = "doc_id long, cls long, n long, sketch binary"
 
 
@@ -115,12 +116,12 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     for r in mapped(filled.select("sketch"), buckets, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         common[r["bucket"]] = r["n"]
 
-    listed = "value long, cls long, n long"
+    listed = "value long, cls long, n long, place long"
     list_shape = arrow_schema(listed)
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vs, cs, ns, last = [], [], [], set()
+            vs, cs, ns, ps, last = [], [], [], [], set()
             for cls, n, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if cls in last:
                     continue
@@ -131,7 +132,8 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
                 vs.append(v[order[: len(v) - t + min(SHARED, t)]])
                 cs.append(np.full(len(vs[-1]), cls))
                 ns.append(np.full(len(vs[-1]), n))
-            yield batch([np.concatenate(vs).view(np.int64), np.concatenate(cs), np.concatenate(ns)] if vs else [[], [], []], list_shape)
+                ps.append(np.arange(1, len(vs[-1]) + 1))
+            yield batch([np.concatenate(vs).view(np.int64), *map(np.concatenate, (cs, ns, ps))] if vs else [[], [], [], []], list_shape)
 
     rows = mapped(filled.select("cls", "n", "sketch"), lists, listed).distinct()
     heads = rows.groupBy("value").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("cls", "n")).alias("head")).where("members > 1")
@@ -140,9 +142,18 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     fits = (F.least("n", "m") * 100 >= percent * F.greatest("n", "m"))  # sizes alone can rule a pair out
     least = lambda n: F.least(F.lit(SHARED), F.ceil(F.col(n) * percent / 100))
 
+    def heads_meet() -> Column:
+        """Whether a value's places in x and y lie in the heads that linked classes of these sizes must share."""
+        n, m = F.col("x.n"), F.col("y.n")
+        share = (n + m) * percent / ((100 + percent) * F.greatest(n, m))
+        few = F.floor(SKETCH * share - 4.75 * F.sqrt(SKETCH * share * F.greatest(F.lit(0.0), 1 - share)))
+        t = F.when(F.greatest(n, m) <= SKETCH, F.ceil((n + m) * percent / (100 + percent))).otherwise(few)
+        head = lambda n: F.least(n, F.lit(SKETCH)) - t + F.least(F.lit(SHARED), t)
+        return (F.col("x.place") <= head(n)) & (F.col("y.place") <= head(m))
+
     def enough(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b, n, m), a row for each list that they share, that share as many as linked ones must."""
-        grouped = pairs.where(fits).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("m").alias("m"))
+        """Pairs (a, b, n, m), a row for each list whose value is in both heads, that share as many as linked ones must."""
+        grouped = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("m").alias("m"))
         return grouped.where(F.col("k") >= F.least(least("n"), least("m"))).select("a", "b")
 
     stars = inverted.df.where("cls != head.cls").select(F.col("cls").alias("a"), F.col("head.cls").alias("b"), "n", F.col("head.n").alias("m"))
@@ -150,12 +161,13 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     first = stars.where(fits).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).where(F.col("k") >= F.least(F.lit(3), least("n"))).select("a", "b")
     links = Cut(_verified(docs, first, classes, width, percent), "links")
     label = components(links.df)
-    placed = Cut(inverted.df.select("value", "cls", "n").join(label.withColumnRenamed("node", "cls"), "cls", "left").select("value", "cls", "n", F.coalesce("label", "cls").alias("label")), "lists")
+    placed = Cut(inverted.df.select("value", "cls", "n", "place").join(label.withColumnRenamed("node", "cls"), "cls", "left").select("value", "cls", "n", "place", F.coalesce("label", "cls").alias("label")), "lists")
     inverted.drop()
     mixed = placed.df.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("value")
     left = placed.df.join(mixed, "value")
     x, y = left.alias("x"), left.alias("y")
-    across = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.label") != F.col("y.label")))
+    sizes = F.least("x.n", "y.n") * 100 >= percent * F.greatest("x.n", "y.n")
+    across = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.label") != F.col("y.label")) & sizes & heads_meet())
     rest = enough(across.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")))
     more = Cut(_verified(docs, rest, classes, width, percent), "links")
     placed.drop()
