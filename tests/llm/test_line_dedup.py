@@ -2,6 +2,9 @@
 import random
 import re
 
+import numpy as np
+import pytest
+
 from vectrill.llm import line_dedup
 
 SOLID = re.compile(r"[^\x20\x09-\x0D]")
@@ -80,16 +83,41 @@ def test_edits(spark):
     assert all(r.n_lines == r.n_repeated + r.n_near + r.n_kept for r in counts) and any(r.n_near for r in counts)
 
 
-def test_holes_and_halves_are_necessary():
-    """Any two lines within distance 1 share a half and a line with a hole."""
+def test_halves_and_holes_are_necessary():
+    """Any two lines within distance 1 share a half, and a hole that holds an edit from one to the other."""
     rng = random.Random(5)
-    for n in (20, 21, 22, 23, 25, 27, 28, 33, 39, 64, 65, 100, 257):
+    for n in (1, 2, 3, 7, 8, 9, 19, 20, 21, 22, 23, 25, 27, 28, 33, 39, 64, 65, 100, 257):
         base = [rng.choice("abc") for _ in range(n)]
         for k in range(n):
             for new in ("", "z", base[k] + "z"):
-                x = base[:k] + [new] + base[k + 1 :]
-                lines = line_dedup.Lines(["".join(base), "".join(x)])
-                use = [i for i in (0, 1) if lines.size[i] >= line_dedup.SHORTEST]
-                if len(use) == 2:
-                    for keys in (lines.halves([0, 1]), lines.around([0, 1])):
-                        assert set(keys[0].tolist()) & set(keys[1].tolist())
+                pair = ["".join(base), "".join(base[:k] + [new] + base[k + 1 :])]
+                lines = line_dedup.Lines(pair)
+                if len(lines.size) < 2:
+                    continue
+                keys, count = lines.halves(np.array([0, 1]))
+                assert set(keys[: count[0]].tolist()) & set(keys[count[0] :].tolist())
+                made = [{}, {}]
+                for _, head, tail, key in lines.holes(np.array([0, 1])):
+                    for i in (0, 1):
+                        places = np.arange(head[i], lines.size[i] - tail[i])
+                        made[i][int(key[i])] = (places, lines.variants(i, places).tolist())
+                met = set(made[0]) & set(made[1])
+                one, other = ([x[m] for m in met] for x in made)
+                if len(pair[0]) == len(pair[1]):
+                    same = [set(zip(a[0].tolist(), a[1], strict=True)) & set(zip(b[0].tolist(), b[1], strict=True)) for a in one for b in other]
+                    assert any(same)
+                else:
+                    long = other if len(pair[1]) > len(pair[0]) else one
+                    whole = int(lines.hash[0 if long is other else 1])
+                    assert any(whole in x[1] for x in long)
+
+
+def test_parameters(spark):
+    rows = [(1, "abcd\nxy\nabcd"), (2, "abce\nxyz\nabcd"), (3, "12\n13")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(df) == [("1", "abcd\nxy"), ("2", "abce\nxyz"), ("3", "12\n13")]
+    new = lambda **kw: {r.doc_id: r.text for r in line_dedup.dedup_lines(df, **kw).collect()}
+    assert new(shortest=1) == {1: "abcd\nxy", 2: "", 3: "12"}
+    assert new(shortest=1, edits=0) == {1: "abcd\nxy", 2: "abce\nxyz", 3: "12\n13"}
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(df, edits=2)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,13 +17,19 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where the setting is absent (tests)."""
+    """The folder named by ``spark.checkpoint.dir``. Only a local master, as in tests, may do without: a temporary
+    folder then serves until the interpreter ends. On a cluster its absence is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jvm_dir.get() if jvm_dir.isDefined() else None
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="vectrill-")
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        own = tempfile.mkdtemp(prefix="vectrill-")
+        atexit.register(shutil.rmtree, own, True)
+        found = "file://" + own
         spark.sparkContext.setCheckpointDir(found)
     return found
 
@@ -70,12 +78,56 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(F.col(column)).cast("long")), F.lit(0)).alias("n")).first()["n"]
 
 
-def without(docs: DataFrame, ids: DataFrame, most: int = 500_000) -> DataFrame:
-    """Rows of ``docs`` whose doc_id isn't in ``ids``. The ids are counted: up to ``most`` are broadcast, more are joined
-    by shuffle. A row without an id is named by none and stays."""
-    gone = Cut(ids.where("doc_id IS NOT NULL").distinct(), "ids")
-    few = gone.df.count() <= most
-    return docs.join(F.broadcast(gone.df) if few else gone.df, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+#: Bits of a ``Mask``: 4 MiB, whatever it is made of.
+MASK = 25
+#: A key with more than 1/HOT of the rows is hot, so there are HOT of them at most.
+HOT = 1000
+
+
+class Mask:
+    """A filter ahead of an exact join: the high bits of 64-bit hashes, in a bitmap of fixed size.
+
+    It never loses a hash. The more hashes it is made of, the more others pass too; these cost what they would cost
+    without it, and the join that follows removes them.
+    """
+
+    def __init__(self, hashes: DataFrame, column: str) -> None:
+        bit = F.shiftrightunsigned(F.col(column), 64 - MASK).cast("int")
+        parts = hashes.select(bit.alias("bit")).groupBy(F.shiftright("bit", 15).alias("block"))
+        self.bits = np.zeros(1 << (MASK - 3), np.uint8)
+        for r in parts.agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767)).cast("long")).alias("bits")).collect():
+            self.bits[r["block"] << 12 : (r["block"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        bit = (h >> np.uint64(64 - MASK)).astype(np.int64)
+        return (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+
+
+def meet(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table`` (one row a key, and n: its rows on the left), though a key may hold most rows.
+
+    Rows of hot keys meet a broadcast table of at most HOT rows where they are; only the others are shuffled.
+    """
+    total = table.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(table.where(F.col("n") * HOT > total).drop("n"))
+    cold = table.where(F.col("n") * HOT <= total).drop("n")
+    return rows.join(hot, key, how).unionByName(rows.join(hot, key, "left_anti").join(cold, key, how))
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """128 bits of a row's id and text. Nulls differ from everything else; rows equal in both are one."""
+    return F.struct(
+        F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.col(text).isNull(), text).alias("a"),
+        F.xxhash64(F.lit(1), text, F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))).alias("b"),
+    )
+
+
+def without(docs: DataFrame, gone: DataFrame, most: int = 500_000) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text) whose ``row_key`` isn't in ``gone`` (row). The keys are counted: up to ``most`` are
+    broadcast, more are joined by shuffle. Rows that share an id, or have none, are told apart by their texts."""
+    gone = Cut(gone.select("row").distinct(), "gone").df
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_key().alias("row"))
+    return keyed.join(F.broadcast(gone) if gone.count() <= most else gone, "row", "left_anti").select("doc.*")
 
 
 def partitions(spark: SparkSession) -> int:
