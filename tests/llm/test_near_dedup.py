@@ -71,3 +71,36 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 60), (60, 80), (7, 7), (300, 200)]
     label = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert label == {i: 1 for i in range(1, 41)} | {60: 60, 80: 60, 100: 60, 200: 200, 300: 200}
+
+
+def test_clusters_whose_members_link_though_centres_do_not(spark):
+    """Two families whose first members are apart, linked only by their outer members; with and without sampling."""
+    rng = random.Random(11)
+    for size in (100, 900):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(size)]
+        rows = []
+        for i in range(12):  # a chain: each differs from the one before in 2 % of its words
+            base = list(base)
+            for _ in range(size // 50):
+                base[rng.randrange(size)] = f"u{rng.randrange(10**6)}"
+            rows += [(len(rows), " ".join(base))]
+            for _ in range(3):
+                t = list(base)
+                t[rng.randrange(size)] = f"x{rng.randrange(10**6)}"
+                rows.append((len(rows), " ".join(t)))
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert got(df) == wanted(rows)
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in near_dedup.near_duplicates(df, sketch=None).collect()) == wanted(rows)
+
+
+def test_duplicates_by_row(spark, odd):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(5, text), (5, text + " more"), (5, "other words"), (None, text), (6, ""), (7, None), (8, "other words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = near_dedup.duplicates(df)
+    from vectrill.llm._shared import without
+
+    left = [(r.doc_id, r.text) for r in without(df, gone).collect()]
+    assert len(left) == 4 and {(6, ""), (7, None), (5, "other words")} < set(left) and [d for d, t in left if t and t.startswith("w0")] == [5]
+    assert without(odd, near_dedup.duplicates(odd)).columns == odd.columns

@@ -1,25 +1,28 @@
 """Near-duplicates by bottom-k sketches from one hash function.
 
-Sketch. A document's set is its distinct shingles, hashed; the sketch keeps the ``SKETCH`` smallest hashes. Documents
-with equal sets form a class, and only classes are compared, so copies never multiply pairs.
-
-Candidates. Inverted lists of retained values would be long for common shingles, so each class enters the lists
-of its rarest retained values only. Two sets with Jaccard at least 0.8 share at least ``t`` retained values (all
-needed ones if a sketch is the whole set, else ``LEAST`` of 128: fewer has probability under 1e-6). Of the values
-ordered by rarity, the first ``size - t + m`` of each must then share at least ``m``. Rarity is a count in 2^18 buckets
-over all documents: a fixed total order of fixed size, whatever the corpus. Where two classes meet in a list, ``t`` is
-that of their two sizes, mostly a larger one, and the value's place in both orders must lie in the then shorter heads.
-
-First each list links its members to its smallest class only; verified links make components. Then lists whose
-members are still in several components give the pairs across components, all of them: a pair within a component
-can't change it. So a group of thousands of near copies costs a few pairs for each member, and no link is lost.
-
-Verification. A pair that shares enough listed values is tested by the estimate from the sketch of its union, and if
-that doesn't rule it out, by the exact sizes of intersection and union of the full sets.
+Sketch. A document's set is its distinct shingles, hashed; the sketch keeps the ``SKETCH`` smallest hashes (48 bits of
+each). Documents with equal sets form a class, and only classes are compared, so copies never multiply pairs.
+
+Candidates. Each class enters the inverted lists of its rarest retained values. Two linked sets share at least ``t``
+retained values: exactly known where both sketches are whole sets, else the ``Z`` sigma lower limit of a sample (a chance of
+1e-6 to lose a link that lies just at the threshold). Of the values ordered by rarity, the first ``size - t + 1`` of
+each then share one. Where two classes meet in a list, ``t`` is that of their two sizes, mostly a larger one, and the
+value's place in both orders must lie in the then shorter heads. Rarity is a count over all documents in 2^22 buckets:
+a fixed total order of fixed size, whatever the corpus. With ``sketch=None`` sketches are whole sets: no link can be lost.
+
+Pairs. A group of thousands of near copies, or of texts around one passage that stay below the threshold, must not be
+compared pair by pair. First each class is compared with one partner, the head of the list that it shares most with.
+Those linked to it are members of its cluster, each with a known difference. Then lists that hold several components
+give pairs of clusters, of which only the centres are compared. ``|a & b| <= |A & B| + |a - A| + |b - B|`` rules out the
+members of most; only members that it can't rule out are compared themselves. So no link between different texts is
+lost, and centres that are linked need no member pairs at all.
+
+Verification. The estimate from the sketch of the pair's union comes first, and where it doesn't rule the pair out, the
+exact sizes of intersection and union of the full sets.
 
 Defined cases: null, empty and blank texts have no shingles, link with nothing and stay; fewer words than a shingle's
 are one shingle; repeated rows are copies of one class, and all rows with the smallest id of a component are ``kept``;
-a null doc_id is larger than any other. Shingles are 64-bit hashes, and so are classes.
+a null doc_id is larger than any other; an empty table has no rows. Shingles are 64-bit hashes, and so are classes.
 """
 
 from __future__ import annotations
@@ -28,16 +31,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import arrow_schema, batch, few_rows, mapped
-from ._shared import Cut
+from ._arrow import arrow_schema, batch, few_rows, mapped, table
+from ._shared import Cut, Mask, meet, row_key
 from ._words import chunks, doc_words, mix, planes, unplanes
 from .components import components
 
-SKETCH, LEAST, SHARED, BUCKETS, MASK = 128, 80, 4, 18, 20
-SET = "doc_id long, cls long, n long, sketch binary"
+SKETCH, Z = 256, 4.75
+BUCKETS, BLOCKS, FAN = 22, 64, 64
+#: Classes of a task that it remembers to have sent.
+SEEN = 100_000
+SET = "a long, b long, doc_id long, cls long, n long, sketch binary"
 
 
 def shingles(texts: list, width: int) -> Iterator[np.ndarray]:
@@ -62,168 +69,324 @@ def class_of(s: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(mix(both + np.arange(1, 4, dtype=np.uint64))).view(np.int64))
 
 
-def needed(n: np.ndarray | int, percent: int) -> np.ndarray:
-    """Retained values that two linked sets share at least, by the size of one."""
-    whole = -(-np.asarray(n) * percent // 100)
-    return np.minimum(whole, LEAST * percent // 80 if percent < 80 else LEAST)
+def coded(s: np.ndarray) -> bytes:
+    """The high 48 bits of sorted hashes."""
+    return planes(s >> np.uint64(16), 6)
 
 
-def _bit(cls: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    return (mix(cls.astype(np.int64).view(np.uint64) ^ mix(doc.astype(np.int64).view(np.uint64))) >> np.uint64(64 - MASK)).astype(np.int64)
+def decoded(b: bytes) -> np.ndarray:
+    return unplanes(b, 6) << np.uint64(16)
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """The union's sketch first; then, unless it rules the pair out, the exact sizes."""
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    x, y = a[:SKETCH], b[:SKETCH]
-    union = np.union1d(x, y)[:SKETCH]
-    both = np.intersect1d(np.intersect1d(x, union, True), y, True)
-    if len(union) == SKETCH and len(both) < needed(SKETCH, percent):
-        return False
-    inter = len(np.intersect1d(a, b, True))
-    return 100 * inter >= percent * (len(a) + len(b) - inter)
+def sampled(k: int, share: float) -> int:
+    """Least number, of k retained values that are shared with this probability each, to be expected at Z sigma."""
+    return int(np.floor(k * share - Z * np.sqrt(k * share * (1 - share))))
 
 
-def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept for each row of ``docs`` (doc_id, text)."""
-    few_rows(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    set_shape = arrow_schema(SET)
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = list(shingles(b.column(1).to_pylist(), width))
-            yield batch([b.column(0), [class_of(s) for s in found], [len(s) for s in found], [planes(s[:SKETCH]) for s in found]], set_shape)
-
-    sets = Cut(mapped(docs, sketch, SET), "sketches")
-    filled = sets.df.where("n > 0")
-    # The class's first row stands for it. coalesce: a class whose ids are all null has one too.
-    classes = filled.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-
-    count_shape = arrow_schema("bucket int, n long")
-
-    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BUCKETS, np.int64)
-        for b in batches:
-            if b.num_rows:
-                v = np.concatenate([unplanes(x) for x in b.column(0).to_pylist()])
-                total += np.bincount((mix(v) >> np.uint64(64 - BUCKETS)).astype(np.int64), minlength=1 << BUCKETS)
-        use = np.flatnonzero(total)
-        yield batch([use, total[use]], count_shape)
-
-    common = np.zeros(1 << BUCKETS, np.int64)
-    for r in mapped(filled.select("sketch"), buckets, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        common[r["bucket"]] = r["n"]
-
-    listed = "value long, cls long, n long, place long"
-    list_shape = arrow_schema(listed)
-
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            vs, cs, ns, ps, last = [], [], [], [], set()
-            for cls, n, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if cls in last:
-                    continue
-                last.add(cls)
-                v = unplanes(s)
-                t = int(needed(n, percent))
-                order = np.lexsort((v, common[(mix(v) >> np.uint64(64 - BUCKETS)).astype(np.int64)]))
-                vs.append(v[order[: len(v) - t + min(SHARED, t)]])
-                cs.append(np.full(len(vs[-1]), cls))
-                ns.append(np.full(len(vs[-1]), n))
-                ps.append(np.arange(1, len(vs[-1]) + 1))
-            yield batch([np.concatenate(vs).view(np.int64), *map(np.concatenate, (cs, ns, ps))] if vs else [[], [], [], []], list_shape)
-
-    rows = mapped(filled.select("cls", "n", "sketch"), lists, listed).distinct()
-    heads = rows.groupBy("value").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("cls", "n")).alias("head")).where("members > 1")
-    inverted = Cut(rows.join(heads.select("value", "head"), "value"), "lists")
-
-    fits = (F.least("n", "m") * 100 >= percent * F.greatest("n", "m"))  # sizes alone can rule a pair out
-    least = lambda n: F.least(F.lit(SHARED), F.ceil(F.col(n) * percent / 100))
-
-    def heads_meet() -> Column:
-        """Whether a value's places in x and y lie in the heads that linked classes of these sizes must share."""
-        n, m = F.col("x.n"), F.col("y.n")
-        share = (n + m) * percent / ((100 + percent) * F.greatest(n, m))
-        few = F.floor(SKETCH * share - 4.75 * F.sqrt(SKETCH * share * F.greatest(F.lit(0.0), 1 - share)))
-        t = F.when(F.greatest(n, m) <= SKETCH, F.ceil((n + m) * percent / (100 + percent))).otherwise(few)
-        head = lambda n: F.least(n, F.lit(SKETCH)) - t + F.least(F.lit(SHARED), t)
-        return (F.col("x.place") <= head(n)) & (F.col("y.place") <= head(m))
-
-    def enough(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b, n, m), a row for each list whose value is in both heads, that share as many as linked ones must."""
-        grouped = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("m").alias("m"))
-        return grouped.where(F.col("k") >= F.least(least("n"), least("m"))).select("a", "b")
-
-    stars = inverted.df.where("cls != head.cls").select(F.col("cls").alias("a"), F.col("head.cls").alias("b"), "n", F.col("head.n").alias("m"))
-    # Stars only save work, so they needn't share all their lists with one head.
-    first = stars.where(fits).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).where(F.col("k") >= F.least(F.lit(3), least("n"))).select("a", "b")
-    links = Cut(_verified(docs, first, classes, width, percent), "links")
-    label = components(links.df)
-    placed = Cut(inverted.df.select("value", "cls", "n", "place").join(label.withColumnRenamed("node", "cls"), "cls", "left").select("value", "cls", "n", "place", F.coalesce("label", "cls").alias("label")), "lists")
-    inverted.drop()
-    mixed = placed.df.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("value")
-    left = placed.df.join(mixed, "value")
-    x, y = left.alias("x"), left.alias("y")
-    sizes = F.least("x.n", "y.n") * 100 >= percent * F.greatest("x.n", "y.n")
-    across = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.label") != F.col("y.label")) & sizes & heads_meet())
-    rest = enough(across.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")))
-    more = Cut(_verified(docs, rest, classes, width, percent), "links")
-    placed.drop()
-    final = components(links.df.union(more.df))
-    links.drop()
-    more.drop()
+def needed(n: int, k: int, percent: int) -> int:
+    """Retained values that two linked sets share at least, by the size of one, whatever the other's."""
+    whole = -(-n * percent // 100)
+    return whole if n * 100 <= k * percent else max(1, min(whole, sampled(k, percent / 100)))
+
+
+def _head(own: Column, n: Column, m: Column, k: int, percent: int) -> Column:
+    """Places that count in the order of a class of size ``own``, where classes of sizes n and m meet."""
+    large = F.greatest(n, m)
+    share = (n + m) * percent / ((100 + percent) * large)
+    part = F.floor(k * share - Z * F.sqrt(k * share * F.greatest(F.lit(0.0), 1 - share)))
+    return F.least(own, F.lit(k)) - F.when(large <= k, F.ceil((n + m) * percent / (100 + percent))).otherwise(F.greatest(part, F.lit(1))) + 1
+
+
+def enough(n: Column, m: Column, percent: int) -> Column:
+    """The size of intersection from which sets of these sizes are linked."""
+    return F.ceil((n + m) * percent / (100 + percent))
+
+
+def overlap(a: np.ndarray, b: np.ndarray, n: int, m: int, k: int) -> tuple[int, int]:
+    """(size of intersection or -1, what it is at most) from two sketches: exact if they are whole sets."""
+    both = np.intersect1d(a, b, True)
+    if max(n, m) <= k:
+        return len(both), len(both)
+    union = np.union1d(a, b)[:k]
+    s, k = int(np.searchsorted(both, union[-1], "right")), len(union)
+    most = (s + Z * Z / 2 + Z * np.sqrt(s * (k - s) / k + Z * Z / 4)) / (k + Z * Z)  # of the Jaccard index
+    return -1, int(most / (1 + most) * (n + m)) + 1
 
-    named = classes.join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    ids = Cut(named.join(smallest, "label").select("cls", "component_id"), "classes")
-    out = sets.df.select("doc_id", "cls", "n").join(ids.df, "cls", "left")
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
+class _Corpus:
+    """The sketches of all documents, and what is derived from them on the way."""
 
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are similar.
+    def __init__(self, docs: DataFrame, width: int, percent: int, sketch: int | None) -> None:
+        self.docs = docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").select("row.a", "row.b", "doc_id", "text")
+        self.width, self.percent, self.k = width, percent, sketch or 1 << 40
+        shape, k = arrow_schema(SET), self.k
 
-    Sets are computed again from the texts, for rows that may stand for a class of a pair: those whose bit is set in a
-    mask of 2^MASK bits. Others that pass cost a join's row, nothing more.
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = list(shingles(b.column(3).to_pylist(), width))
+                yield batch([*b.columns[:3], [class_of(s) for s in found], [len(s) for s in found], [coded(s[:k]) for s in found]], shape)
+
+        self.sets = Cut(mapped(self.docs, run, SET), "sketches").df
+        self.filled = self.sets.where("n > 0")
+
+    def rarity(self) -> np.ndarray:
+        """A step on a logarithmic scale for each bucket of values: how many documents retain one of them.
+
+        Each task sends its whole table in blocks, which are added in a tree of ``FAN`` branches.
+        """
+        shape, size = "block int, part long, counts binary", 1 << BUCKETS
+        made = arrow_schema(shape)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size, np.int64)
+            for b in batches:
+                if b.num_rows:
+                    v = np.concatenate([decoded(x) for x in b.column(0).to_pylist()])
+                    total += np.bincount((mix(v) >> np.uint64(64 - BUCKETS)).astype(np.int64), minlength=size)
+            for i, x in enumerate(total.reshape(BLOCKS, -1)):
+                yield batch([[i], [TaskContext.get().partitionId()], [planes(x.astype(np.uint64), 5)]], made)
+
+        def add(key, got):
+            total = sum(unplanes(x, 5) for x in got["counts"].to_pylist())
+            return table([[key[0].as_py()], [key[1].as_py()], [planes(total, 5)]], made)
+
+        rows = mapped(self.filled.select("sketch"), count, shape)
+        for _ in range(3):
+            rows = rows.groupBy("block", F.expr(f"part div {FAN}").alias("up")).applyInArrow(add, shape)
+        out = np.zeros((BLOCKS, size // BLOCKS), np.uint8)
+        for r in rows.toLocalIterator():
+            total = np.frombuffer(r["counts"], np.uint8)
+            out[r["block"]] = np.maximum(out[r["block"]], (2 * np.log2(1 + unplanes(total.tobytes(), 5).astype(float))).astype(np.uint8))
+        return out.reshape(-1)
+
+    def lists(self) -> DataFrame:
+        """value, cls, n, place of the classes in the lists that hold several, and head (cls, n, place), the smallest."""
+        common, k, percent = self.rarity(), self.k, self.percent
+
+        def heads(b: pa.RecordBatch, seen: set):
+            for cls, n, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if cls in seen:
+                    continue
+                if len(seen) < SEEN:
+                    seen.add(cls)
+                v = decoded(s)
+                level = common[(mix(v) >> np.uint64(64 - BUCKETS)).astype(np.int64)]
+                order = np.lexsort((v, level))[: len(v) - needed(n, k, percent) + 1]
+                order, place = order[level[order] > 2], np.arange(1, len(order) + 1)[level[order] > 2]  # a count of one has no partner
+                yield cls, n, v[order], place
+
+        value_shape = arrow_schema("value long")
+
+        def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for b in batches:
+                found = [v for _, _, v, _ in heads(b, seen)]
+                yield batch([np.concatenate(found).view(np.int64) if found else []], value_shape)
+
+        kept = self.filled.select("cls", "n", "sketch")
+        shared = Cut(mapped(kept, values, "value long").groupBy("value").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("value"), "values")
+        likely = Mask(shared.df, "value")
+        shared.drop()
+        listed = "value long, cls long, n long, place int"
+        list_shape = arrow_schema(listed)
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for b in batches:
+                vs, cs, ns, ps = [], [], [], []
+                for cls, n, v, place in heads(b, seen):
+                    use = likely.has(v)
+                    vs.append(v[use])
+                    ps.append(place[use])
+                    cs.append(np.full(len(vs[-1]), cls))
+                    ns.append(np.full(len(vs[-1]), n))
+                yield batch([np.concatenate(vs).view(np.int64), *map(np.concatenate, (cs, ns, ps))] if vs else [[]] * 4, list_shape)
+
+        once = Cut(mapped(kept, rows, listed).distinct(), "lists")
+        head = F.min(F.struct("cls", "n", "place")).alias("head")
+        heads_ = once.df.groupBy("value").agg(head, F.max("cls").alias("hi"), F.count(F.lit(1)).alias("n")).where("head.cls != hi").drop("hi")
+        out = Cut(meet(once.df, Cut(heads_, "heads").df, "value"), "lists")
+        once.drop()
+        return out.df
+
+    def near(self, n: Column, m: Column) -> Column:
+        """Sizes alone can rule a pair out."""
+        return F.least(n, m) * 100 >= self.percent * F.greatest(n, m)
+
+    def meets(self, n: Column, p: Column, m: Column, q: Column) -> Column:
+        """Whether a value at places p and q lies in the heads that linked classes of sizes n and m must share."""
+        return self.near(n, m) & (p <= _head(n, n, m, self.k, self.percent)) & (q <= _head(m, n, m, self.k, self.percent))
+
+    def _beside(self, pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+        """pairs (a, b) with x and y from this column of sets (cls, ...), though one class may be in most pairs."""
+        for own, name in (("a", "x"), ("b", "y")):
+            counts = pairs.groupBy(own).agg(F.count(F.lit(1)).alias("n"))
+            side = Cut(sets.select(F.col("cls").alias(own), F.struct("size", column).alias(name)).join(counts, own), "beside")
+            pairs = meet(pairs, side.df, own)
+        return pairs
+
+    def compared(self, pairs: DataFrame) -> DataFrame:
+        """a, b, n, m, most, linked for pairs (a, b) of classes: their sizes, what their intersection is at most, and
+        whether they are similar."""
+        k, percent = self.k, self.percent
+        found = Cut(pairs.select("a", "b").distinct(), "pairs")
+        some = "cls long, row long, size long, sketch binary"
+        wanted = Mask(found.df.select(F.col("a").alias("cls")).union(found.df.select("b")), "cls")
+
+        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for b in batches:
+                use = []
+                for i in np.flatnonzero(wanted.has(b.column(0).to_numpy().view(np.uint64))).tolist():
+                    if (c := b.column(0)[i].as_py()) not in seen:
+                        use.append(i)
+                        if len(seen) < SEEN:
+                            seen.add(c)
+                yield b.take(pa.array(use, pa.int64()))
+
+        rows = self.filled.select("cls", F.col("a").alias("row"), F.col("n").alias("size"), "sketch").mapInArrow(chosen, some)
+        sketches = Cut(_one_each(rows, found.df, "row", "size", "sketch"), "chosen")
+        tested = "a long, b long, n long, m long, inter long, most long"
+        shape = arrow_schema(tested)
+
+        def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in batches:
+                out = [(x["size"], y["size"], *overlap(decoded(x["items"]), decoded(y["items"]), x["size"], y["size"], k)) for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True)]
+                yield batch([t.column(0), t.column(1), *(zip(*out, strict=True) if out else [[]] * 4)], shape)
+
+        rated = Cut(mapped(self._beside(found.df, sketches.df.withColumnRenamed("sketch", "items")), estimate, tested), "rated")
+        found.drop()
+        unsure = (F.col("inter") < 0) & (F.col("most") >= enough(F.col("n"), F.col("m"), percent))
+        left = Cut(rated.df.where(unsure).select("a", "b"), "unsure")
+        exact = mapped(self._beside(left.df, self._sets(left.df, sketches.df)), estimate_exact, tested)
+        linked = (F.col("inter") >= 0) & (F.col("inter") >= enough(F.col("n"), F.col("m"), percent))
+        out = Cut(rated.df.where(~unsure).unionByName(exact).select("a", "b", "n", "m", "most", linked.alias("linked")), "compared")
+        for x in (sketches, rated, left):
+            x.drop()
+        return out.df
+
+    def _sets(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+        """cls, size, items of the classes of ``pairs``: their full sets, made again from the texts of one row each, with
+        a few others that a mask lets pass."""
+        rows = Cut(_one_each(sketches, pairs, "row"), "rows")
+        wanted, width = Mask(rows.df, "row"), self.width
+        rows.drop()
+        some = "cls long, size long, items binary"
+        shape = arrow_schema(some)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts = b.column(1).filter(pa.array(wanted.has(b.column(0).to_numpy().view(np.uint64)))).to_pylist()
+                out = [(class_of(s), len(s), coded(s)) for s in shingles(texts, width) if len(s)]
+                yield batch(list(zip(*out, strict=True)) if out else [[]] * 3, shape)
+
+        return Cut(_one_each(mapped(self.docs.select("a", "text"), scan, some), pairs, "size", "items"), "sets").df
+
+    def _beside(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """a, b, x and y for pairs (a, b): size and items of both, though one class may be in most pairs."""
+        for own, name in (("a", "x"), ("b", "y")):
+            counts = pairs.groupBy(own).agg(F.count(F.lit(1)).alias("n"))
+            side = Cut(sets.select(F.col("cls").alias(own), F.struct("size", "items").alias(name)).join(counts, own), "beside")
+            pairs = meet(pairs, side.df, own)
+        return pairs.select("a", "b", "x", "y")
+
+
+def estimate_exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shape = arrow_schema("a long, b long, n long, m long, inter long, most long")
+    for t in batches:
+        xs, ys = t.column(2).to_pylist(), t.column(3).to_pylist()
+        inter = [len(np.intersect1d(decoded(x["items"]), decoded(y["items"]), True)) for x, y in zip(xs, ys, strict=True)]
+        yield batch([t.column(0), t.column(1), [x["size"] for x in xs], [y["size"] for y in ys], inter, inter], shape)
+
+
+def _one_each(rows: DataFrame, pairs: DataFrame, *columns: str) -> DataFrame:
+    """One row for each class (cls) that is in pairs (a, b)."""
+    ids = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    return rows.join(ids, "cls", "left_semi").groupBy("cls").agg(*[F.first(c).alias(c) for c in columns])
+
+
+def _labelled(df: DataFrame, label: DataFrame, column: str, name: str) -> DataFrame:
+    """df with the component of the class in ``column``: itself if it has no link."""
+    return df.join(label.withColumnsRenamed({"node": column, "label": name}), column, "left").withColumn(name, F.coalesce(name, column))
+
+
+def links(corpus: _Corpus) -> DataFrame:
+    """Links (a, b) of classes whose components are those of all links."""
+    percent, c = corpus.percent, F.col
+    lists = corpus.lists()
+    stars = lists.where("cls != head.cls").where(corpus.meets(c("n"), c("place"), c("head.n"), c("head.place")))
+    best = F.max_by(F.col("b"), F.struct("k", -F.col("b")))
+    partner = stars.groupBy(c("cls").alias("a"), c("head.cls").alias("b")).agg(F.count(F.lit(1)).alias("k")).groupBy("a").agg(best.alias("b"))
+    linked = Cut(corpus.compared(partner).where("linked"), "stars").df
+    label = components(linked)
+
+    # A cluster is a class that has linked with no smaller one, and those that have linked with it.
+    outer = linked.select(c("a").alias("b")).distinct().withColumn("outer", F.lit(True))
+    member = linked.join(outer, "b", "left").where("outer IS NULL").select(c("a").alias("cls"), c("b").alias("centre"), (c("n") - c("most")).alias("own"))
+    placed = lists.select("value", "cls", "n", "place").join(member, "cls", "left")
+    placed = _labelled(placed.withColumns({"centre": F.coalesce("centre", "cls"), "own": F.coalesce("own", F.lit(0))}), label, "cls", "label")
+    placed = Cut(placed, "placed")
+    several = placed.df.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("value", "n")
+    mixed = Cut(meet(placed.df, Cut(several, "mixed").df, "value", "left_semi"), "mixed").df
+    placed.drop()
+
+    # Clusters that meet in a list, by the extremes of their members there.
+    kinds = {"n1": F.min("n"), "n2": F.max("n"), "place": F.min("place"), "label": F.min("label")}
+    there = Cut(mixed.groupBy("value", "centre").agg(*[f.alias(k) for k, f in kinds.items()]), "there").df
+    x, y = there.alias("x"), there.alias("y")
+    single = (c("x.n1") == c("x.n2")) & (c("y.n1") == c("y.n2"))
+    sizes = (c("x.n2") * 100 >= percent * c("y.n1")) & (c("y.n2") * 100 >= percent * c("x.n1"))
+    k, least = corpus.k, F.greatest("x.n1", "y.n1")
+    shared = F.ceil(least * percent / 100)
+    if k < 1 << 40:
+        shared = F.when(F.greatest("x.n2", "y.n2") > k, F.least(shared, F.lit(max(1, sampled(k, percent / 100))))).otherwise(shared)
+    loose = lambda s: c(f"{s}.place") <= F.least(c(f"{s}.n2"), F.lit(k)) - shared + 1
+    can = F.when(single, corpus.meets(c("x.n1"), c("x.place"), c("y.n1"), c("y.place"))).otherwise(sizes & loose("x") & loose("y"))
+    met = x.join(y, (c("x.value") == c("y.value")) & (c("x.centre") < c("y.centre")) & (c("x.label") != c("y.label")) & can)
+    triples = Cut(met.select(c("x.value").alias("value"), c("x.centre").alias("a"), c("y.centre").alias("b")), "met").df
+    centres = corpus.compared(triples)
+    joined = Cut(linked.select("a", "b").union(centres.where("linked").select("a", "b")), "links").df
+
+    # Members that the bound can't rule out, of clusters that are still apart.
+    again = components(joined)
+    extreme = mixed.groupBy("centre").agg(F.max("own").alias("own"), F.min("n").alias("n1"), F.max(c("cls") != c("centre")).alias("wide"))
+    side = lambda s: extreme.select(c("centre").alias(s), c("own").alias(f"own_{s}"), c("n1").alias(f"n_{s}"), c("wide").alias(f"wide_{s}"))
+    apart = _labelled(_labelled(centres.where("NOT linked").select("a", "b", "most"), again, "a", "label_a"), again, "b", "label_b").where("label_a != label_b")
+    apart = apart.join(side("a"), "a").join(side("b"), "b").where("wide_a OR wide_b").where(c("most") + c("own_a") + c("own_b") >= enough(c("n_a"), c("n_b"), percent))
+    open_ = triples.join(Cut(apart.select("a", "b", "most"), "apart").df, ["a", "b"])
+    of = lambda s: mixed.select("value", c("centre").alias(s), F.struct("cls", "n", "place", "own").alias(f"{s}{s}"))
+    expanded = open_.join(of("a"), ["value", "a"]).join(of("b"), ["value", "b"])
+    bound = c("most") + c("aa.own") + c("bb.own") >= enough(c("aa.n"), c("bb.n"), percent)
+    new = (c("aa.cls") != c("a")) | (c("bb.cls") != c("b"))
+    rest = expanded.where(bound & new & corpus.meets(c("aa.n"), c("aa.place"), c("bb.n"), c("bb.place"))).select(c("aa.cls").alias("a"), c("bb.cls").alias("b"))
+    more = corpus.compared(rest).where("linked").select("a", "b")
+    return Cut(joined.union(more), "links").df
+
+
+def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, sketch: int | None = SKETCH, rows: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept for each row of ``docs`` (doc_id, text).
+
+    Documents are linked if their sets of shingles of ``width`` words have 100 * intersection >= ``percent`` * union.
+    ``sketch`` is the number of retained values; None retains all. With ``rows``, also ``row`` (see ``row_key``) and
+    ``component``, which tells components apart that have the same smallest id.
     """
-    found = Cut(pairs, "pairs")
-    want = classes.join(found.df.select(F.col("a").alias("cls")).union(found.df.select("b")).distinct(), "cls").select("cls", "doc_id")
-    bit_shape = arrow_schema("bit int")
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            doc = np.array([-1 if d is None else d for d in b.column(1).to_pylist()], np.int64)
-            yield batch([np.unique(_bit(b.column(0).to_numpy(zero_copy_only=False), doc))], bit_shape)
-
-    mask = np.zeros(1 << MASK, bool)
-    mask[[r["bit"] for r in mapped(want, bits, "bit int").distinct().collect()]] = True
-    packed = np.packbits(mask)
-    full = "cls long, items binary"
-    full_shape = arrow_schema(full)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = np.unpackbits(packed).astype(bool)
-        for b in batches:
-            cs, items = [], []
-            doc = np.array([-1 if d is None else d for d in b.column(0).to_pylist()], np.int64)
-            for d, s in zip(doc, shingles(b.column(1).to_pylist(), width), strict=True):
-                if len(s) and on[_bit(np.array([c := class_of(s)]), np.array([d]))[0]]:
-                    cs.append(c)
-                    items.append(planes(s))
-            yield batch([cs, items], full_shape)
-
-    sets = Cut(mapped(docs, scan, full), "sets")
-    a = sets.df.select(F.col("cls").alias("a"), F.col("items").alias("x"))
-    b = sets.df.select(F.col("cls").alias("b"), F.col("items").alias("y"))
-    pair_shape = arrow_schema("a long, b long")
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            ok = [similar(unplanes(p), unplanes(q), percent) for p, q in zip(t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True)]
-            keep = pa.array(ok, pa.bool_())
-            yield batch([t.column(0).filter(keep), t.column(1).filter(keep)], pair_shape)
-
-    return mapped(found.df.join(a, "a").join(b, "b").select("a", "b", "x", "y"), test, "a long, b long").distinct()
+    few_rows(docs.sparkSession)
+    corpus = _Corpus(docs, width, percent, sketch)
+    classes = corpus.filled.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    named = Cut(_labelled(classes, components(links(corpus)), "cls", "component"), "named").df
+    smallest = Cut(named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "smallest").df
+    ids = Cut(meet(named.select("component", "cls", F.col("n").alias("copies")), smallest, "component"), "classes").df
+    full = meet(corpus.filled.select("a", "b", "doc_id", "cls", F.col("n").alias("n_shingles")), ids.withColumnRenamed("copies", "n"), "cls")
+    empty = corpus.sets.where("n = 0").select("a", "b", "doc_id", "cls", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    out = full.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    extra = [F.struct("a", "b").alias("row"), "component"] if rows else []
+    return out.select("doc_id", "n_shingles", "component_id", "kept", *extra)
+
+
+def duplicates(docs: DataFrame, width: int = 5, percent: int = 80, sketch: int | None = SKETCH) -> DataFrame:
+    """row (see ``row_key``) of each row of ``docs`` that goes if one document of each group stays: that of the smallest id,
+    and of rows that have it the one with the smallest key. Texts without words stay."""
+    found = Cut(near_duplicates(docs, width, percent, sketch, rows=True).where("component IS NOT NULL").select("component", "doc_id", "row"), "found").df
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    stays = Cut(found.groupBy("component").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1"), "stays").df
+    return meet(found, stays, "component").where("first.row != row").select("row")
