@@ -49,3 +49,45 @@ def test_odd(odd, none):
     assert language.identify(none, model).count() == 0
     assert {r.lang_pred for r in language.identify(odd, language.fit(none, MODEL)).collect()} == {"und"}
     assert language.keep_identified(odd, model).columns == odd.columns
+
+
+def test_letters(spark):
+    texts = ["½ ² Ⅷ ③ 12 _", "´ ̈", "x", "École", "Écoles ́a", "हिन्दी भाषा", "日本", "a̱b"]
+    assert [language.split(t) for t in texts] == [[], [], ["x"], ["e\u0301cole"] if len("École") == 6 else ["école"], ["e\u0301coles", "a"] if len("École") == 6 else ["écoles", "a"], ["हिन्दी", "भाषा"], ["日本"], ["a̱b"]]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.identify(df, language.fit(df, MODEL)).collect()}
+    assert [got[i] for i in range(8)] == ["und"] * 2 + ["en"] * 6
+
+
+def test_every_language_keeps_its_words():
+    """EM against expected uses over all segmentations, and language by language."""
+    names = sorted([b"a", b"b", b"ab", "▁".encode(), "▁a".encode(), b"ba"])
+    pieces = language.Pieces(names)
+    counts = [("x", "abab", 3), ("x", "ba", 1), ("y", "aab", 2), ("x", "cab", 1)]
+
+    def segmentations(w):
+        if not w:
+            yield []
+        for n in [p for p in names if w.startswith(p)]:
+            for rest in segmentations(w[len(n) :]):
+                yield [n, *rest]
+        if w:
+            for rest in segmentations(w[1:]):
+                yield [None, *rest]
+
+    for lang in "xy":
+        prob = dict.fromkeys(names, 1 / len(names))
+        for _ in range(language.ROUNDS):
+            uses = dict.fromkeys(names, 0.0)
+            for lg, word, n in counts:
+                if lg == lang:
+                    found = [(s, np.prod([prob.get(p, language.FLOOR) for p in s])) for s in segmentations((language.MARK + word).encode())]
+                    all_ = sum(p for _, p in found)
+                    for s, p in found:
+                        for piece in s:
+                            if piece:
+                                uses[piece] += n * p / all_
+            total_ = sum(uses.values())
+            prob = {p: (u + 0.01) / (total_ + 0.01 * len(names)) for p, u in uses.items()}
+        langs, got = language.learn(counts, pieces)
+        assert np.allclose(got[:, langs.index(lang)], [prob[p] for p in names])

@@ -130,5 +130,15 @@ def without(docs: DataFrame, gone: DataFrame, most: int = 500_000) -> DataFrame:
     return keyed.join(F.broadcast(gone) if gone.count() <= most else gone, "row", "left_anti").select("doc.*")
 
 
+def once(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each that is repeated with id and text: only these are shuffled with their texts."""
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_key().alias("row"))
+    repeated = Cut(keyed.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row"), "repeated")
+    if not repeated.df.limit(1).count():
+        return docs
+    single = keyed.join(repeated.df, "row", "left_anti")
+    return single.union(keyed.join(repeated.df, "row", "left_semi").groupBy("row").agg(F.first("doc").alias("doc")).select("doc", "row")).select("doc.*")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -2,36 +2,60 @@
 
 For each language, the pieces of a fixed public vocabulary have probabilities; the probability of a word is the sum
 over all its segmentations into pieces, computed by the forward algorithm, and that of a text the product over its
-words. Piece probabilities are learned by expectation-maximisation on word counts from a bounded sample: about
-``SAMPLE`` documents of each language by a hash of the id, and of these the ``WORDS`` most frequent pairs of language
-and word. A single byte is a piece of probability ``FLOOR`` in every language, so no text is impossible.
+words. Piece probabilities are learned by expectation-maximisation on the word counts of a bounded sample of labelled
+documents. Its bounds are parameters of ``fit``: about ``sample`` documents of each language by a hash of the id, of these the
+``words`` most frequent words of each language, those of at most ``longest`` bytes, and the ``languages`` most frequent
+languages. Scoring knows no bound. A single byte is a piece of probability ``FLOOR`` in every language, so no text is
+impossible.
 
-Words are runs of letters in lower case, with the file's word-start mark. Forward sums run over many
-distinct words at once, one piece length after the other; long words get a scaled recursion of their own.
+Words begin with a letter and go on with letters and combining marks, in lower case and with the file's word-start mark;
+learning and scoring cut them by the same function. Forward sums run over many distinct words at once, one piece length
+after the other; long words get a scaled recursion of their own. The score is the posterior with the weight of four
+words, so that long texts don't all score 1.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; ties go to the first language in
-sorted order; repeated rows get equal results; null languages don't teach; with nothing to learn from, all is ``und``.
+sorted order; repeated rows get equal results; null languages don't teach; with nothing to learn from, all is ``und``;
+an empty table has no rows; other columns aren't read.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._arrow import arrow_schema, batch, few_rows, mapped
 from ._words import U64, prefix, span
 
-SAMPLE, WORDS, ROUNDS, FLOOR, LONG, MARK = 2000, 60_000, 3, 1e-9, 32, "▁"
-LETTERS = re.compile(r"[^\W\d_]+")
+SAMPLE, WORDS, LONGEST, LANGUAGES = 2000, 25_000, 64, 1000
+ROUNDS, FLOOR, LONG, MARK = 3, 1e-9, 32, "▁"
 PREDICTED = "doc_id long, lang_pred string, score double, n_words long"
 _BITS, _SPREAD = 18, U64(0xD6E8FEB86659FD93)
 
 
+def _class(kinds: str) -> str:
+    """A character class of all code points whose general category begins with one of the letters."""
+    runs = itertools.groupby((c for c in range(0x110000) if unicodedata.category(chr(c))[0] in kinds), lambda c, n=itertools.count(): c - next(n))
+    ends = ((r[0], r[-1]) for r in (list(g) for _, g in runs))
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ends) + "]"
+
+
+LETTERS = re.compile(_class("L") + _class("LM") + "*")
+
+
+def split(text: str | None) -> list[str]:
+    """The words of a text."""
+    return LETTERS.findall((text or "").lower())
+
+
 def vocabulary(path: str) -> list[bytes]:
     """The ordinary pieces of a SentencePiece file, as UTF-8 in lower case."""
     import sentencepiece
@@ -138,46 +162,46 @@ def forward_scaled(word: bytes, pieces: Pieces, prob: np.ndarray) -> np.ndarray:
 
 
 def learn(counts: list[tuple[str, str, int]], pieces: Pieces, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
-    """Languages and piece probabilities (pieces x languages) from (language, word, count) by EM."""
+    """Languages and piece probabilities (pieces x languages) from (language, word, count) by EM, language by language."""
     langs = sorted({lang for lang, _, _ in counts})
-    of = {lang: i for i, lang in enumerate(langs)}
     prob = np.full((pieces.size, len(langs)), 1.0 / pieces.size)
-    table: dict[bytes, np.ndarray] = {}
+    by_lang: dict[str, dict[bytes, int]] = {lang: Counter() for lang in langs}
     for lang, word, n in counts:
-        if len(w := (MARK + word).encode()) <= LONG:
-            table.setdefault(w, np.zeros(len(langs)))[of[lang]] += n
-    words = sorted(table, key=len)
-    if not words:
-        return langs, prob
-    weight = np.stack([table[w] for w in words])
-    size = np.array([len(w) for w in words])
-    found = list(matches(words, pieces))
-    rows = np.arange(len(words))
-    for _ in range(rounds):
-        alpha = np.zeros((int(size[-1]) + 1, len(words), len(langs)))
-        beta = np.zeros_like(alpha)
-        alpha[0], beta[size, rows] = 1, 1
-        at = 0
-        for end in range(1, len(alpha)):
-            alpha[end] += alpha[end - 1] * FLOOR
-            while at < len(found) and found[at][0] == end:
-                _, k, w, ids = found[at]
-                alpha[end, w] += alpha[end - k, w] * prob[ids]
-                at += 1
-        scale = weight / alpha[size, rows]
-        expected = np.zeros_like(prob)
-        at = len(found)
-        for end in range(len(alpha) - 1, 0, -1):
-            while at and found[at - 1][0] == end:
-                at -= 1
-                _, k, w, ids = found[at]
-                beta[end - k, w] += beta[end, w] * prob[ids]
-                np.add.at(expected, ids, alpha[end - k, w] * prob[ids] * beta[end, w] * scale[w])
-            beta[end - 1] += beta[end] * FLOOR
-        prob = (expected + 0.01) / (expected.sum(0) + 0.01 * pieces.size)
+        by_lang[lang][(MARK + word).encode("utf-8", "replace")] += n
+    for i, lang in enumerate(langs):
+        words = sorted(by_lang[lang], key=len)
+        found = list(matches(words, pieces))
+        for _ in range(rounds):
+            prob[:, i] = _step(words, np.array([by_lang[lang][w] for w in words], float), found, prob[:, i])
     return langs, prob
 
 
+def _step(words: list[bytes], weight: np.ndarray, found: list, prob: np.ndarray) -> np.ndarray:
+    """One round: each piece's expected number of uses over all segmentations, smoothed."""
+    size, rows = np.array([len(w) for w in words]), np.arange(len(words))
+    alpha = np.zeros((int(size[-1]) + 1, len(words)))
+    beta = np.zeros_like(alpha)
+    alpha[0], beta[size, rows] = 1, 1
+    at = 0
+    for end in range(1, len(alpha)):
+        alpha[end] += alpha[end - 1] * FLOOR
+        while at < len(found) and found[at][0] == end:
+            _, k, w, ids = found[at]
+            alpha[end, w] += alpha[end - k, w] * prob[ids]
+            at += 1
+    scale = weight / np.maximum(alpha[size, rows], 1e-300)
+    expected = np.zeros_like(prob)
+    at = len(found)
+    for end in range(len(alpha) - 1, 0, -1):
+        while at and found[at - 1][0] == end:
+            at -= 1
+            _, k, w, ids = found[at]
+            beta[end - k, w] += beta[end, w] * prob[ids]
+            expected += np.bincount(ids, alpha[end - k, w] * prob[ids] * beta[end, w] * scale[w], len(prob))
+        beta[end - 1] += beta[end] * FLOOR
+    return (expected + 0.01) / (expected.sum() + 0.01 * len(prob))
+
+
 class Model:
     """Piece probabilities by language. Words' log probabilities are kept, a bounded number of them."""
 
@@ -192,15 +216,15 @@ class Model:
     def texts(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
         if len(self.row) > self.KEEP:
             self.row, self.table = {}, [np.zeros((0, len(self.langs)))]
-        split = [LETTERS.findall((t or "").lower()) for t in texts]
-        new = list(set().union(*split).difference(self.row))
+        words_of = [split(t) for t in texts]
+        new = list(set().union(*words_of).difference(self.row))
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             self.row.update(zip(part, range(len(self.row), len(self.row) + len(part)), strict=True))
             self.table.append(forward([(MARK + w).encode("utf-8", "replace") for w in part], self.pieces, self.prob))
         self.table = [table := np.concatenate(self.table)]
         out = []
-        for words in split:
+        for words in words_of:
             n = len(words)
             if not self.langs or not n:
                 out.append(("und", 0.0, n))
@@ -212,16 +236,25 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, model_path: str, sample: int = SAMPLE) -> Model:
-    """Learn from ``docs`` (doc_id, text, lang)."""
+def fit(docs: DataFrame, model_path: str, sample: int = SAMPLE, words: int = WORDS, longest: int = LONGEST, languages: int = LANGUAGES) -> Model:
+    """Learn from ``docs`` (doc_id, text, lang). The bounds of the sample are described above."""
     few_rows(docs.sparkSession)
     taught = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    sizes = taught.groupBy("lang").count()
+    sizes = taught.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
     share = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) * F.col("count") < sample * 1_000_000
-    chosen = taught.join(F.broadcast(sizes), "lang").where(share)
-    words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0))).alias("word")).groupBy("lang", "word").count()
-    rows = words.orderBy(F.desc("count"), "lang", "word").limit(WORDS).collect()
-    langs, prob = learn([(r["lang"], r["word"], r["count"]) for r in rows], Pieces(vocabulary(model_path)))
+    chosen = taught.join(F.broadcast(sizes), "lang").where(share)  # languages rows at most
+    counted = "lang string, word string, n long"
+    shape = arrow_schema(counted)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = Counter((lang, w) for lang, text in zip(*(c.to_pylist() for c in b.columns), strict=True) for w in split(text) if len(w.encode("utf-8", "replace")) <= longest)
+            yield batch([*(zip(*n, strict=True) if n else ([], [])), list(n.values())], shape)
+
+    totals = mapped(chosen.select("lang", "text"), count, counted).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    rows = totals.withColumn("r", F.row_number().over(order)).where(F.col("r") <= words).toArrow()
+    langs, prob = learn(list(zip(*(rows[c].to_pylist() for c in ("lang", "word", "n")), strict=True)), Pieces(vocabulary(model_path)))
     return Model(model_path, langs, prob)
 
 
