@@ -1,328 +1,305 @@
-"""Bigram language model as a weighted backoff automaton, learned and applied without ever being in one place.
-
-Model. With absolute discounts ``d1`` (words) and ``d2`` (pairs), estimated from counts of counts:
-``P(w) = (c(w) - d1) / N`` for training words, ``P(unknown) = d1 V / N``, and after a context u
-``P(w | u) = max(c(u, w) - d2, 0) / c(u) + d2 T(u) / c(u) * P(w)``, T(u) being the number of distinct successors.
-The states of the automaton are the contexts, an arc for each seen pair carries its log probability, and the failure
-arc ``log(d2 T(u) / c(u))`` leads to the root, whose arcs are the words. Probabilities sum to one over the V words and
-the unknown one. A text is traversed once from left to right, the state being the word before.
-
-Plan. Documents are dealt into blocks of about ``BLOCK`` bytes by a hash of the row. Each block asks for the counts of
-its distinct words and pairs, adding those it has seen in training rows; requests travel as sorted columns of hashes,
-one parcel for each of ``parts`` shares of the vocabulary. A share sums the counts of its words and pairs from all
-blocks and sends back numbers in the order of each request; every block asks every share, and so gets the counts of
-counts of all pairs too. The block builds the part of the automaton that its own
-texts can reach, and traverses them. So a task holds one block or one share, whatever the corpus grows to, and what
-travels is proportional to the input. A share is that of a pair's context, where T(u) is then exact. Contexts so
-frequent that they hold more than 1/``HOT`` of all tokens, ``HOT`` of them at most, are spread over all shares
-instead; their T(u) come from a count of their distinct pairs beforehand.
-
-Words are 64-bit hashes, and a pair's second word 48 bits of it: two words of a corpus of 10^9 distinct ones share a
-hash with probability under 3%, which would merge their counts.
+"""Trigram language model as a weighted backoff automaton, learned and applied without ever being in one place.
+
+Model. Words by absolute discount: ``P(w) = (c(w) - d) / N`` for training words, ``P(unknown) = d V / N``. Pairs and triples
+by Dirichlet smoothing: ``P(w | u) = (c(u w) + k2 P(w)) / (c(u) + k2)`` and
+``P(w | u v) = (c(u v w) + k3 P(w | v)) / (c(u v) + k3)``. The strengths k are those at which the mass left for unseen
+n-grams is that of the n-grams seen once (Good and Turing): ``sum over contexts of c k / (c + k) = n1``.
+
+The states of the automaton are the contexts: the seen pairs, the seen words and the root. An arc for each seen n-gram
+carries its log probability. The failure arc of a pair's state, of weight ``k3 / (c + k3)``, leads to the state of its last
+word, and that of a word's state, of weight ``k2 / (c + k2)``, to the root, whose arcs are the words. A text is traversed once
+from left to right: without an arc for the next word the state fails, adding up weights, until there is one, and the arc leads
+to the state of the longest seen context. ``Automaton.step`` is that; ``traverse`` makes the same moves for all tokens of a
+block at once. Probabilities in each state sum to one over the V words and the unknown one.
+
+Plan. Documents are dealt into blocks of about ``block_bytes`` by a hash of the row and of its partition, so that rows
+repeated many times are dealt too. A block asks for the counts of its distinct words, pairs and triples and adds those it
+has seen in training rows. Requests travel as sorted, packed hashes, one parcel for each share of the hashes in which the block has
+any: never more parcels than n-grams. A share sums the counts of its n-grams from all blocks and answers each request in
+its order; their number follows the n-grams, apart from that of blocks. Sizes and counts of counts, a few hundred
+numbers, are summed over all shares and broadcast. The block then builds the part of the automaton that its own texts can reach, and
+traverses them. So a task holds one block or one share, and what travels is proportional to the input.
+
+N-grams are hashes of ``WIDTH`` bits more than the number of the corpus's words has: of two n-grams in about 2^WIDTH, one
+shares its hash with another, and then their counts add up.
 
 Defined cases: null and empty texts are the end token alone; repeated rows are counted and scored each; a null doc_id
-scores like any other; without training rows all tokens are unknown, with probability 1.
+scores like any other; without training rows all tokens are unknown, with probability 1; an empty table has no rows; other columns
+aren't read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import arrow_schema, batch, few_rows, mapped, release, table
+from ._arrow import arrow_schema, few_rows, release, table
 from ._shared import partitions, text_bytes
 from ._words import chunks, doc_words, mix, planes, unplanes
 
-BLOCK, HOT, FLUSH = 11 << 20, 2048, 8 << 20
+BLOCK, SHARE, WIDTH, EXACT = 8 << 20, 3 << 20, 17, 256
 START, END = np.uint64(0x517CC1B727220A95), np.uint64(0x2545F4914F6CDD1D)
-_LOW = np.uint64((1 << 48) - 1)
+ORDERS = (1, 2, 3)
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def sequences(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, each text closed by the end token, and the numbers of their texts."""
+    words, docs = [], []
+    for first, run in chunks(texts):
+        h, bounds = doc_words(run)
+        n = np.diff(bounds) + 1
+        ends = np.cumsum(n) - 1
+        seq = np.full(len(h) + len(run), END)
+        inner = np.ones(len(seq), bool)
+        inner[ends] = False
+        seq[inner] = h
+        words.append(seq)
+        docs.append(np.repeat(np.arange(first, first + len(run)), n))
+    return np.concatenate(words), np.concatenate(docs)
+
+
+def grams(seq: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words, pairs and triples that end at each token, and whether a text begins there.
+
+    The first word's pair is with the start; it has no triple.
+    """
+    first = np.diff(doc, prepend=-1) > 0
+    prev = np.where(first, START, np.concatenate([seq[:1], seq[:-1]]))
+    two = mix(mix(prev ^ np.uint64(0xA0761D6478BD642F)) ^ seq)
+    context = np.concatenate([two[:1], two[:-1]])
+    return mix(seq), two, mix(mix(context ^ np.uint64(0xE7037ED1A0B428DB)) ^ seq), first
+
+
+def packed(a: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(planes(a.astype(np.uint64)))
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    return unplanes(zstandard.ZstdDecompressor().decompress(b))
+
+
+def packed_keys(keys: np.ndarray, base: int) -> bytes:
+    """Sorted keys as steps from the one before."""
+    return packed(np.diff(keys, prepend=np.uint64(base)))
+
+
+def unpacked_keys(b: bytes, base: int) -> np.ndarray:
+    return np.cumsum(unpacked(b), dtype=np.uint64) + np.uint64(base)
+
+
+@dataclass(frozen=True)
+class Grid:
+    """Hashes of ``bits`` bits, cut into shares of equal width."""
+
+    bits: int
+    shares: int
+
+    @property
+    def step(self) -> int:
+        return -(-(1 << self.bits) // self.shares)
+
+    def key(self, h: np.ndarray) -> np.ndarray:
+        return h >> np.uint64(64 - self.bits)
+
+
+class Block:
+    """The distinct n-grams of a block's texts, with the training rows' counts, and which of them each token ends."""
+
+    def __init__(self, texts: list, train: np.ndarray, grid: Grid) -> None:
+        self.grid, self.texts = grid, len(texts)
+        seq, self.doc = sequences(texts)
+        weight = train[self.doc].astype(np.float64)
+        *hashes, self.first = grams(seq, self.doc)
+        self.inner = np.flatnonzero(~self.first)
+        self.keys, self.at, self.counts = [], [], []
+        for order in ORDERS:
+            h, w = (hashes[order - 1], weight) if order < 3 else (hashes[2][self.inner], weight[self.inner])
+            keys, at = np.unique(grid.key(h), return_inverse=True)
+            self.keys.append(keys)
+            self.at.append(at)
+            self.counts.append(np.bincount(at, w, len(keys)).astype(np.int64))
+
+    def parcels(self) -> Iterator[tuple]:
+        """(share, keys and counts of each order) for each share that has any."""
+        step = np.uint64(self.grid.step)
+        share = [(k // step).astype(np.int64) for k in self.keys]
+        for s in np.unique(np.concatenate(share)).tolist():
+            row: list = [s]
+            for k, c, own in zip(self.keys, self.counts, share, strict=True):
+                a, b = np.searchsorted(own, s), np.searchsorted(own, s, "right")
+                row += [packed_keys(k[a:b], s * self.grid.step), packed(c[a:b])]
+            yield tuple(row)
+
+
 @dataclass
-class Facts:
-    """What every block has to know: totals, discounts and the frequent contexts (sorted by hash)."""
+class Stats:
+    """Sums over all n-grams of training rows: by order, numbers and totals of n-grams by their count."""
 
-    tokens: int = 0
-    types: int = 0
-    d1: float = 0.5
-    d2: float = 0.5
-    hot: np.ndarray = field(default_factory=lambda: np.array([START]))
-    hot_successors: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    hot_count: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    number: dict = field(default_factory=dict)  # (order, bin) -> distinct n-grams
+    total: dict = field(default_factory=dict)  # (order, bin) -> occurrences
+    ends: int = 0
 
-    def place(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.hot, h), len(self.hot) - 1)
-        return at, self.hot[at] == h
+    def _sum(self, what: dict, order: int) -> int:
+        return sum(v for (o, _), v in what.items() if o == order)
 
+    @property
+    def tokens(self) -> int:
+        return self._sum(self.total, 1)
 
-def discount(n1: int, n2: int) -> float:
-    return float(np.clip(n1 / (n1 + 2 * n2), 0.05, 0.95)) if n1 + n2 else 0.5
+    @property
+    def types(self) -> int:
+        return self._sum(self.number, 1)
 
+    @property
+    def discount(self) -> float:
+        n1, n2 = self.number.get((1, 1), 0), self.number.get((1, 2), 0)
+        return float(np.clip(n1 / (n1 + 2 * n2), 0.05, 0.95)) if n1 + n2 else 0.5
+
+    def strength(self, order: int) -> float:
+        """k of the order: the left side of its equation rises with k, so by halving on a logarithmic scale."""
+        bins = [(self.number[o, b], self.total[o, b] / self.number[o, b]) for o, b in self.number if o == order - 1]
+        n1, lo, hi = self.number.get((order, 1), 0), -3.0, 6.0
+        for _ in range(60):
+            k = 10 ** ((lo + hi) / 2)
+            lo, hi = (np.log10(k), hi) if sum(n * c * k / (c + k) for n, c in bins) < n1 else (lo, np.log10(k))
+        return float(10**hi)
 
-def stream(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(words with end tokens, contexts, number of the text) by runs of texts of about a megabyte."""
-    for first, run in chunks(texts):
-        h, bounds = doc_words(run)
-        n = np.diff(bounds) + 1
-        ends = np.cumsum(n) - 1
-        seq = np.empty(len(h) + len(run), np.uint64)
-        inner = np.ones(len(seq), bool)
-        inner[ends] = False
-        seq[inner], seq[ends] = h, END
-        prev = np.empty_like(seq)
-        prev[1:], prev[np.concatenate([[0], ends[:-1] + 1])] = seq[:-1], START
-        yield seq, prev, np.repeat(np.arange(first, first + len(run)), n)
-
-
-def grouped(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and the sums of their weights."""
-    u, inv = np.unique(keys, return_inverse=True)
-    return u, np.bincount(inv, weights, len(u)).astype(np.int64)
-
-
-def pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """One 64-bit key of a pair whose second word has 48 bits."""
-    return mix(u ^ mix(w & _LOW))
-
-
-def _parcels(share: np.ndarray, parts: int, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
-    order = np.argsort(share, kind="stable")
-    cut = np.searchsorted(share[order], np.arange(parts + 1))
-    for p in range(parts):
-        if cut[p] < cut[p + 1]:
-            at = order[cut[p] : cut[p + 1]]
-            yield p, [c[at] for c in columns]
-
-
-def facts(train: DataFrame, parts: int) -> Facts:
-    """Totals, the words' discount and frequent contexts of the training rows (text), from two scans."""
-    parcel = "part int, keys binary, counts binary"
-    shape = arrow_schema(parcel)
-
-    def sums(find):
-        """Distinct keys with counts, summed over runs of texts and dealt to shares."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, size = [], 0
-
-            def flush():
-                k, n = grouped(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
-                rows = [(p, planes(a), planes(c.astype(np.uint64))) for p, (a, c) in _parcels((mix(k) % np.uint64(parts)).astype(np.int64), parts, k, n)]
-                return batch(list(zip(*rows, strict=True)) if rows else [[], [], []], shape)
-
-            for b in batches:
-                for seq, prev, _ in stream(b.column(0).to_pylist()):
-                    held.append(find(seq, prev))
-                    size += len(held[-1][0])
-                    if size > FLUSH // 6:
-                        yield flush()
-                        held, size = [], 0
-            if held:
-                yield flush()
-
-        return run
-
-    def summed(got) -> tuple[np.ndarray, np.ndarray]:
-        return grouped(np.concatenate([unplanes(x) for x in got["keys"].to_pylist()]), np.concatenate([unplanes(x) for x in got["counts"].to_pylist()]))
-
-    def unigrams(seq, prev):
-        return grouped(seq, np.ones(len(seq)))
-
-    top = "tokens long, types long, n1 long, n2 long, ends long, words array<long>, counts array<long>"
-    top_shape = arrow_schema(top)
-
-    def totals(key, got):
-        k, n = summed(got)
-        at = np.argsort(-n, kind="stable")[:HOT]
-        at = at[n[at] * HOT * 4 > n.sum()]  # of its share, so of all a multiple of parts less: a superset
-        ends = int(n[k == END].sum())
-        return table([[int(n.sum())], [len(k)], [int((n == 1).sum())], [int((n == 2).sum())], [ends], [k[at].view(np.int64).tolist()], [n[at].tolist()]], top_shape)
-
-    rows = mapped(train.select("text"), sums(unigrams), parcel).groupBy("part").applyInArrow(totals, top).collect()
-    out = Facts(sum(r["tokens"] for r in rows), sum(r["types"] for r in rows))
-    out.d1 = discount(sum(r["n1"] for r in rows), sum(r["n2"] for r in rows))
-    found = {w: n for r in rows for w, n in zip(r["words"], r["counts"], strict=True) if n * HOT >= out.tokens}
-    hot = np.append(np.array(list(found), np.int64).view(np.uint64), START)
-    count = np.append(np.array(list(found.values()), np.int64), sum(r["ends"] for r in rows))
-    order = np.argsort(hot)
-    out.hot, out.hot_count, out.hot_successors = hot[order], count[order], np.zeros(len(hot), np.int64)
-    known = Facts(hot=out.hot)
-
-    # The pairs of a frequent context: its number in the low bits of the key keeps contexts apart in any share.
-    bits = np.uint64(max(1, (len(hot) - 1).bit_length()))
-
-    def pairs(seq, prev):
-        at, is_hot = known.place(prev)
-        k = (pair(prev[is_hot], seq[is_hot]) << bits) | at[is_hot].astype(np.uint64)
-        return grouped(k, np.ones(len(k)))
-
-    after = "context int, successors long"
-    after_shape = arrow_schema(after)
-
-    def successors(key, got):
-        k, n = summed(got)
-        at = (k & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        t = np.bincount(at, n > 0, len(known.hot)).astype(np.int64)
-        use = np.flatnonzero(t)
-        return table([use, t[use]], after_shape)
-
-    got = mapped(train.select("text"), sums(pairs), parcel).groupBy("part").applyInArrow(successors, after)
-    for r in got.groupBy("context").agg(F.sum("successors").alias("t")).collect():
-        out.hot_successors[r["context"]] = r["t"]
-    return out
-
-
-class Request:
-    """The distinct words and pairs of a block's texts, in the order in which shares get and answer them."""
-
-    def __init__(self, known: Facts, texts: list, train: np.ndarray, parts: int) -> None:
-        words, pairs = [], []
-        for seq, prev, doc in stream(texts):
-            t = train[doc].astype(np.float64)
-            words.append(grouped(seq, t))
-            k = pair(prev, seq)
-            u, first, inv = np.unique(k, return_index=True, return_inverse=True)
-            pairs.append((u, prev[first], seq[first] & _LOW, np.bincount(inv, t, len(u))))
-        self.words, self.word_counts = grouped(np.concatenate([w for w, _ in words]), np.concatenate([c for _, c in words]))
-        del words
-        k, context, after, counts = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        del pairs
-        self.pairs, first, inv = np.unique(k, return_index=True, return_inverse=True)
-        del k
-        self.context, self.next = context[first], after[first]
-        self.pair_counts = np.bincount(inv, counts, len(first)).astype(np.int64)
-        del context, after, counts, first, inv
-        _, hot = known.place(self.context)
-        mod = lambda x: (x % np.uint64(parts)).astype(np.int64)
-        self.word_share, self.pair_share = mod(self.words), np.where(hot, mod(self.pairs), mod(self.context))
-        # pairs of a share are sorted by context, so that contexts travel once each
-        self.word_order = np.argsort(self.word_share, kind="stable")
-        self.pair_order = np.lexsort((self.next, self.context, self.pair_share))
-        self.parts = parts
-
-    def parcels(self) -> Iterator[tuple[int, bytes, bytes, bytes, bytes, bytes, bytes]]:
-        w, p = self.word_order, self.pair_order
-        wcut = np.searchsorted(self.word_share[w], np.arange(self.parts + 1))
-        pcut = np.searchsorted(self.pair_share[p], np.arange(self.parts + 1))
-        for s in range(self.parts):
-            a, b = w[wcut[s] : wcut[s + 1]], p[pcut[s] : pcut[s + 1]]
-            u, n = np.unique(self.context[b], return_counts=True)
-            yield (
-                s, planes(self.words[a]), planes(self.word_counts[a].astype(np.uint64)), planes(u), planes(n.astype(np.uint64)),
-                planes(self.next[b], 6), planes(self.pair_counts[b].astype(np.uint64)),
-            )
-
-    def answered(self, answers: dict[int, tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Counts and successors of ``words`` and counts of ``pairs`` over the whole corpus."""
-        w, p = self.word_order, self.pair_order
-        c, t, cp = np.empty(len(w), np.int64), np.empty(len(w), np.int64), np.empty(len(p), np.int64)
-        join = lambda i: np.concatenate([unplanes(answers[s][i]).astype(np.int64) for s in sorted(answers)])
-        c[w], t[w], cp[p] = join(0), join(1), join(2)
-        return c, t, cp
+
+def bins(counts: np.ndarray) -> np.ndarray:
+    """Counts below ``EXACT`` one by one, others by powers of two."""
+    return np.where(counts < EXACT, counts, EXACT + np.log2(np.maximum(counts, 1)).astype(np.int64))
 
 
 class Automaton:
     """The states and arcs that a block's texts can reach, with log10 weights."""
 
-    def __init__(self, known: Facts, words: np.ndarray, c: np.ndarray, t: np.ndarray, pairs: np.ndarray, cp: np.ndarray, context: np.ndarray) -> None:
-        self.known, self.words, self.count, self.pairs = known, words, c, pairs
-        n = max(known.tokens, 1)
-        unknown = known.d1 * known.types / n if known.tokens else 1.0
-        self.root = np.where(c > 0, (c - known.d1) / n, unknown)
-        at, hot = known.place(words)
-        t = np.where(hot, known.hot_successors[at], t)
-        self.total = c
-        self.fail = np.where(c > 0, known.d2 * t / np.maximum(c, 1), 1.0)
-        start = np.flatnonzero(known.hot == START)[0]
-        self.start_total = known.hot_count[start]
-        self.start_fail = known.d2 * known.hot_successors[start] / self.start_total if self.start_total else 1.0
-        total = self._of(context, self.total, self.start_total)
-        self.arc = np.maximum(cp - known.d2, 0) / np.maximum(total, 1)
-
-    def _of(self, state: np.ndarray, values: np.ndarray, at_start) -> np.ndarray:
-        return np.where(state == START, at_start, values[np.minimum(np.searchsorted(self.words, state), len(values) - 1)])
-
-    def traverse(self, seq: np.ndarray, prev: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each token in its state, and its count."""
-        w = np.searchsorted(self.words, seq)
-        arc = self.arc[np.searchsorted(self.pairs, pair(prev, seq))]
-        return np.log10(arc + self._of(prev, self.fail, self.start_fail) * self.root[w]), self.count[w]
-
-
-def lm_score(docs: DataFrame, held_out: str = "held_out", block_bytes: int = BLOCK) -> DataFrame:
+    def __init__(self, block: Block, counts: list[np.ndarray], stats: Stats) -> None:
+        self.block, self.counts = block, counts
+        one, two, three = counts
+        n, d = max(stats.tokens, 1), stats.discount
+        k2, k3 = stats.strength(2), stats.strength(3)
+        unknown = d * stats.types / n if stats.tokens else 1.0
+        root = np.where(one > 0, (one - d) / n, unknown)
+        at1, at2, at3 = block.at
+        # a pair's context is the word before, or the start; a triple's is the pair before
+        place = np.empty(len(two), np.int64)
+        place[at2] = np.arange(len(at2))
+        context = np.where(block.first[place], stats.ends, one[at1[place - 1]])
+        p2 = (two + k2 * root[at1[place]]) / (context + k2)
+        last = np.empty(len(three), np.int64)
+        last[at3] = block.inner
+        under = two[at2[last - 1]]
+        p3 = (three + k3 * p2[at2[last]]) / (under + k3)
+        log = lambda x: np.log10(np.maximum(x, 1e-300))
+        self.arcs = [log(root), log(p2), log(p3)]
+        self.fail_start = float(np.log10(k2 / (stats.ends + k2)))
+        self.fail = [np.log10(k2 / (one + k2)), np.log10(k3 / (two + k3))]
+
+    def traverse(self) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each token in its state, and the word's count. A state of an unseen context has a failure
+        arc of weight 1, as if it weren't there."""
+        b = self.block
+        (one, two, three), (at1, at2, at3) = self.counts, b.at
+        before = np.where(b.first, self.fail_start, self.fail[0][np.concatenate([at1[:1], at1[:-1]])])
+        logs = np.where(two[at2] > 0, self.arcs[1][at2], before + self.arcs[0][at1])
+        i = b.inner
+        logs[i] = np.where(three[at3] > 0, self.arcs[2][at3], self.fail[1][at2[i - 1]] + logs[i])
+        return logs, one[at1]
+
+
+def lm_score(docs: DataFrame, held_out: str = "held_out", block_bytes: int = BLOCK, share_keys: int = SHARE) -> DataFrame:
     """Score each row of ``docs`` (doc_id, text, and the boolean column ``held_out``) by a model of the others.
 
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score, both log10.
+    A block holds about ``block_bytes`` of text, a share is asked for about ``share_keys`` n-grams.
     """
     spark = docs.sparkSession
     few_rows(spark)
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.col(held_out), F.lit(False)).alias("held_out"))
-    blocks = max(1, -(-text_bytes(rows) // block_bytes))
-    parts = max(partitions(spark), blocks)
-    known = facts(rows.where("NOT held_out"), parts)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    ask = "block long, part int, words binary, word_counts binary, contexts binary, fan binary, next binary, pair_counts binary"
+    size = text_bytes(rows)
+    blocks = max(1, -(-size // block_bytes))
+    words = max(size // 6, 1)
+    grid = Grid(min(60, max(44, words.bit_length() + WIDTH)), max(partitions(spark), -(-2 * words // share_keys)))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)))
+    ask = "block long, share long, k1 binary, n1 binary, k2 binary, n2 binary, k3 binary, n3 binary"
     ask_shape = arrow_schema(ask)
 
-    def request(got) -> Request:
-        return Request(known, got["text"].to_pylist(), ~np.array(got["held_out"].to_pylist(), bool), parts)
+    def block_of(got) -> Block:
+        return Block(got["text"].to_pylist(), ~np.array(got["held_out"].to_pylist(), bool), grid)
 
     def asks(key, got):
         release()
-        own = [(key[0].as_py(), *r) for r in request(got).parcels()]
+        own = [(key[0].as_py(), *r) for r in block_of(got).parcels()]
         return table(list(zip(*own, strict=True)), ask_shape)
 
-    reply = "block long, part int, c binary, t binary, cp binary, once long, twice long"
+    asked = dealt.groupBy("block").applyInArrow(asks, ask)
+
+    def summed(got, order: int) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
+        """Distinct keys, where each request's are among them, the requests' ends, and counts over all requests."""
+        base = got["share"][0].as_py() * grid.step
+        keys = [unpacked_keys(x, base) for x in got[f"k{order}"].to_pylist()]
+        u, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(at, np.concatenate([unpacked(x) for x in got[f"n{order}"].to_pylist()]), len(u)).astype(np.int64)
+        return u, at, np.cumsum([len(k) for k in keys]).tolist(), n
+
+    reply = "block long, share long, c1 binary, c2 binary, c3 binary, stats array<long>"
     reply_shape = arrow_schema(reply)
 
     def answer(key, got):
         release()
-        part = key[0].as_py()
-        col = {n: [unplanes(x, 6 if n == "next" else 8) for x in got[n].to_pylist()] for n in ask_shape.names[2:]}
-        words, c = grouped(np.concatenate(col["words"]), np.concatenate(col["word_counts"]))
-        contexts = [np.repeat(u, n.astype(np.int64)) for u, n in zip(col["contexts"], col["fan"], strict=True)]
-        context, pairs = np.concatenate(contexts), [pair(u, w) for u, w in zip(contexts, col["next"], strict=True)]
-        keys, first, inv = np.unique(np.concatenate(pairs), return_index=True, return_inverse=True)
-        cp = np.bincount(inv, np.concatenate(col["pair_counts"]), len(keys)).astype(np.int64)
-        us, t = grouped(context[first], cp > 0)
-        successors = np.zeros(len(words), np.int64)
-        if len(us) and len(words):
-            at = np.minimum(np.searchsorted(us, words), len(us) - 1)
-            successors = np.where(us[at] == words, t[at], 0)
-        out = []
-        ends, once, twice = np.cumsum([len(p) for p in pairs]), int((cp == 1).sum()), int((cp == 2).sum())
-        for i, block in enumerate(got["block"].to_pylist()):
-            w = np.searchsorted(words, col["words"][i])
-            own = cp[inv[ends[i] - len(pairs[i]) : ends[i]]]
-            out.append((block, part, planes(c[w].astype(np.uint64)), planes(successors[w].astype(np.uint64)), planes(own.astype(np.uint64)), once, twice))
-        return table(list(zip(*out, strict=True)), reply_shape)
+        own = []
+        for order in ORDERS:
+            _, at, ends, n = summed(got, order)
+            own.append([packed(n[at[a:b]]) for a, b in zip([0, *ends], ends, strict=False)])
+        return table([got["block"].to_pylist(), got["share"].to_pylist(), *own, [None] * got.num_rows], reply_shape)
 
+    counted = "ord int, bin long, number long, total long"
+    counted_shape = arrow_schema(counted)
+    end_key = int(grid.key(mix(np.array([END])))[0])
+
+    def count(key, got):
+        release()
+        out: list[tuple] = []
+        for order in ORDERS:
+            u, _, _, n = summed(got, order)
+            b, at = np.unique(bins(n), return_inverse=True)
+            out += [(order, x, y, z) for x, y, z in zip(b.tolist(), np.bincount(at).tolist(), np.bincount(at, n).astype(np.int64).tolist(), strict=True) if z]
+            if order == 1:
+                out.append((0, 0, 0, int(n[u == end_key].sum())))
+        return table(list(zip(*out, strict=True)), counted_shape)
+
+    sums = asked.groupBy("share").applyInArrow(count, counted).groupBy("ord", "bin").agg(F.sum("number").alias("number"), F.sum("total").alias("total"))
+    # a few hundred rows, whatever the corpus, in one
+    facts = sums.agg(F.flatten(F.collect_list(F.array(F.col("ord").cast("long"), "bin", "number", "total"))).alias("stats")).withColumn("all", F.lit(0))
+    none = F.lit(None).cast("binary")
+    told = spark.range(blocks).withColumn("all", F.lit(0)).join(F.broadcast(facts), "all").select(F.col("id").alias("block"), F.lit(None).cast("long").alias("share"), none.alias("c1"), none.alias("c2"), none.alias("c3"), "stats")
     shape = arrow_schema(SCORED)
 
     def scores(key, texts, answers):
         release()
         if not texts.num_rows:
             return table([[]] * 7, shape)
-        r, text = request(texts), texts["text"].to_pylist()
-        got = zip(answers["part"].to_pylist(), answers["c"].to_pylist(), answers["t"].to_pylist(), answers["cp"].to_pylist(), strict=True)
-        c, t, cp = r.answered({p: x for p, *x in got})
-        d2 = discount(*(sum(answers[x].to_pylist()) for x in ("once", "twice")))  # every share has answered, so of all pairs
-        model = Automaton(replace(known, d2=d2), r.words, c, t, r.pairs, cp, r.context)
-        n, hits, base, score = np.zeros((4, len(text)))
-        for seq, prev, doc in stream(text):
-            logs, count = model.traverse(seq, prev)
-            add = lambda x: np.bincount(doc, x, len(text))  # noqa: B023, E731
-            n += add(np.ones(len(seq)))
-            hits += add(count > 0)
-            base += add(np.log10(count + 1) - np.log10(known.tokens + known.types + 1))
-            score += add(logs)
-        return table([texts["doc_id"].to_pylist(), texts["held_out"].to_pylist(), n.astype(np.int64), hits.astype(np.int64), np.full(len(text), known.tokens), base, score], shape)
-
-    answers = dealt.groupBy("block").applyInArrow(asks, ask).groupBy("part").applyInArrow(answer, reply)
+        block = block_of(texts)
+        got = sorted((r for r in answers.to_pylist() if r["stats"] is None), key=lambda r: r["share"])
+        counts = [np.concatenate([unpacked(r[f"c{order}"]) for r in got]).astype(np.int64) for order in ORDERS]
+        stats = Stats()
+        for r in answers.to_pylist():
+            for o, b, number, total in np.array(r["stats"] or [], np.int64).reshape(-1, 4).tolist():
+                if o:
+                    stats.number[o, b], stats.total[o, b] = number, total
+                else:
+                    stats.ends = total
+        logs, known = Automaton(block, counts, stats).traverse()
+        add = lambda x: np.bincount(block.doc, x, block.texts)
+        n, hits = add(np.ones(len(logs))).astype(np.int64), add(known > 0).astype(np.int64)
+        base = add(np.log10(known + 1) - np.log10(stats.tokens + stats.types + 1))
+        return table([texts["doc_id"].to_pylist(), texts["held_out"].to_pylist(), n, hits, np.full(len(n), stats.tokens), base, add(logs)], shape)
+
+    answers = asked.groupBy("share").applyInArrow(answer, reply).unionByName(told)
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scores, SCORED)
