@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, the only separator of words here.
@@ -48,10 +48,13 @@ class Cut:
     otherwise they go when the driver's interpreter ends.
     """
 
-    def __init__(self, df: DataFrame, name: str) -> None:
+    def __init__(self, df: DataFrame, name: str, **measures: Column) -> None:
+        """``measures``: aggregates of all rows, taken as they are written, for ``self.found``."""
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/vectrill-{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        told = Observation()
+        (df.observe(told, *[c.alias(k) for k, c in measures.items()]) if measures else df).write.parquet(self.path)
+        self.found = told.get if measures else {}
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         atexit.register(self.drop)
 
@@ -103,12 +106,21 @@ class Mask:
         return (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
 
 
-def meet(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``table`` (one row a key, and n: its rows on the left), though a key may hold most rows.
+class Counted(Cut):
+    """A table with one row a key and n, the number of rows that will meet it, with what ``meet`` has to know of n."""
+
+    def __init__(self, df: DataFrame, name: str) -> None:
+        super().__init__(df, name, total=F.sum("n"), most=F.max("n"))
+
+
+def meet(rows: DataFrame, counted: Counted, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a counted table, though a key may hold most rows.
 
     Rows of hot keys meet a broadcast table of at most HOT rows where they are; only the others are shuffled.
     """
-    total = table.agg(F.sum("n")).first()[0] or 0
+    total, table = counted.found["total"] or 0, counted.df
+    if (counted.found["most"] or 0) * HOT <= total:
+        return rows.join(table.drop("n"), key, how)
     hot = F.broadcast(table.where(F.col("n") * HOT > total).drop("n"))
     cold = table.where(F.col("n") * HOT <= total).drop("n")
     return rows.join(hot, key, how).unionByName(rows.join(hot, key, "left_anti").join(cold, key, how))

@@ -30,14 +30,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for each node of ``edges`` (a, b, integers): the smallest node that it reaches."""
-    now = Cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
-    while True:
-        large = Cut(_star(now.df, True), "edges")
-        now.drop()
-        now = Cut(_star(large.df, False), "edges")
-        large.drop()
-        last, mark = mark, tuple(now.df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if mark == last or not mark[0]:
-            break
+    told = {"n": F.count(F.lit(1)), "sum": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
+    now = Cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", **told)
+    last = None
+    while now.found != last and now.found["n"]:
+        last, before = now.found, now
+        now = Cut(_star(_star(now.df, True), False), "edges", **told)
+        before.drop()
     return now.df.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.df.select("b", "b").distinct())

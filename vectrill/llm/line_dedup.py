@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import arrow_schema, batch, few_rows, mapped
-from ._shared import Cut, Mask, meet
+from ._shared import Counted, Cut, Mask, meet
 from ._words import U64, down, mix, prefix_of, span
 
 SHORTEST, EDITS, HOLES = 20, 1, 8
@@ -111,7 +111,7 @@ def _runs(b: pa.RecordBatch, size: int = 1 << 18) -> Iterator[tuple[list, list]]
 def _met(keys: DataFrame) -> DataFrame:
     """Rows of ``keys`` (key, h, ...) whose key another h has too, for a table that is read again at low cost."""
     some = keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count(F.lit(1)).alias("n"))
-    return meet(keys, Cut(some.where("lo != hi").select("key", "n"), "shared").df, "key", "left_semi")
+    return meet(keys, Counted(some.where("lo != hi").select("key", "n"), "shared"), "key", "left_semi")
 
 
 PLACE = ("ord", "key", "line")
@@ -123,7 +123,7 @@ def near_lines(docs: DataFrame, lines: DataFrame, shortest: int) -> DataFrame:
     half_shape = arrow_schema(half)
     halves = lines.select(F.explode("halves").alias("key"), "h")
     some = halves.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count(F.lit(1)).alias("n"))
-    shared = Cut(some.where("lo != hi").select("key", "n"), "halves")
+    shared = Counted(some.where("lo != hi").select("key", "n"), "halves")
     likely = Mask(shared.df, "key")
 
     def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +134,7 @@ def near_lines(docs: DataFrame, lines: DataFrame, shortest: int) -> DataFrame:
             yield batch([keys[use], b.column(0).to_numpy()[owner]], half_shape)
 
     few = Cut(lines.select("h", "halves").mapInArrow(masked, half).distinct(), "halves")
-    wanted = Cut(meet(few.df, shared.df, "key", "left_semi").select("h").distinct(), "wanted")
+    wanted = Cut(meet(few.df, shared, "key", "left_semi").select("h").distinct(), "wanted")
     shared.drop()
     few.drop()
     fetch = Mask(wanted.df, "h")
@@ -245,9 +245,9 @@ def dropped_lines(docs: DataFrame, shortest: int = SHORTEST, edits: int = EDITS)
         near = near_lines(docs, lines.df.select("h", "halves"), shortest).withColumn("near", F.lit(True))
         seen = seen.join(near, "h", "full")
     # a line that occurs once has no first place but its own
-    marks = Cut(seen.select("h", "first", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("near", F.lit(False)).alias("near") if edits else F.lit(False).alias("near")), "marks")
+    marks = Counted(seen.select("h", "first", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("near", F.lit(False)).alias("near") if edits else F.lit(False).alias("near")), "marks")
     out = (
-        meet(lines.df.select(*PLACE, "h"), marks.df, "h")
+        meet(lines.df.select(*PLACE, "h"), marks, "h")
         .where((F.col("first") != place) | F.col("near"))
         .select("key", F.struct("line", (F.col("near") & (F.coalesce("first", place) == place)).alias("near")).alias("d"))
     )

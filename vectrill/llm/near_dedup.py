@@ -5,13 +5,13 @@ each). Documents with equal sets form a class, and only classes are compared, so
 
 Candidates. Each class enters the inverted lists of its rarest retained values. Two linked sets share at least ``t``
 retained values: exactly known where both sketches are whole sets, else the ``Z`` sigma lower limit of a sample (a chance of
-1e-6 to lose a link that lies just at the threshold). Of the values ordered by rarity, the first ``size - t + 1`` of
+2e-4 to lose a link that lies just at the threshold, and next to none above it). Of the values ordered by rarity, the first ``size - t + 1`` of
 each then share one. Where two classes meet in a list, ``t`` is that of their two sizes, mostly a larger one, and the
 value's place in both orders must lie in the then shorter heads. Rarity is a count over all documents in 2^22 buckets:
 a fixed total order of fixed size, whatever the corpus. With ``sketch=None`` sketches are whole sets: no link can be lost.
 
 Pairs. A group of thousands of near copies, or of texts around one passage that stay below the threshold, must not be
-compared pair by pair. First each class is compared with one partner, the head of the list that it shares most with.
+compared pair by pair. First the classes of a list are compared with its smallest only.
 Those linked to it are members of its cluster, each with a known difference. Then lists that hold several components
 give pairs of clusters, of which only the centres are compared. ``|a & b| <= |A & B| + |a - A| + |b - B|`` rules out the
 members of most; only members that it can't rule out are compared themselves. So no link between different texts is
@@ -36,11 +36,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import arrow_schema, batch, few_rows, mapped, table
-from ._shared import Cut, Mask, meet, row_key
+from ._shared import Counted, Cut, Mask, meet, row_key
 from ._words import chunks, doc_words, mix, planes, unplanes
 from .components import components
 
-SKETCH, Z = 256, 4.75
+SKETCH, Z = 256, 3.5
 BUCKETS, BLOCKS, FAN = 22, 64, 64
 #: Classes of a task that it remembers to have sent.
 SEEN = 100_000
@@ -205,7 +205,7 @@ class _Corpus:
         once = Cut(mapped(kept, rows, listed).distinct(), "lists")
         head = F.min(F.struct("cls", "n", "place")).alias("head")
         heads_ = once.df.groupBy("value").agg(head, F.max("cls").alias("hi"), F.count(F.lit(1)).alias("n")).where("head.cls != hi").drop("hi")
-        out = Cut(meet(once.df, Cut(heads_, "heads").df, "value"), "lists")
+        out = Cut(meet(once.df, Counted(heads_, "heads"), "value"), "lists")
         once.drop()
         return out.df
 
@@ -286,8 +286,8 @@ class _Corpus:
         """a, b, x and y for pairs (a, b): size and items of both, though one class may be in most pairs."""
         for own, name in (("a", "x"), ("b", "y")):
             counts = pairs.groupBy(own).agg(F.count(F.lit(1)).alias("n"))
-            side = Cut(sets.select(F.col("cls").alias(own), F.struct("size", "items").alias(name)).join(counts, own), "beside")
-            pairs = meet(pairs, side.df, own)
+            side = Counted(sets.select(F.col("cls").alias(own), F.struct("size", "items").alias(name)).join(counts, own), "beside")
+            pairs = meet(pairs, side, own)
         return pairs.select("a", "b", "x", "y")
 
 
@@ -315,19 +315,18 @@ def links(corpus: _Corpus) -> DataFrame:
     percent, c = corpus.percent, F.col
     lists = corpus.lists()
     stars = lists.where("cls != head.cls").where(corpus.meets(c("n"), c("place"), c("head.n"), c("head.place")))
-    best = F.max_by(F.col("b"), F.struct("k", -F.col("b")))
-    partner = stars.groupBy(c("cls").alias("a"), c("head.cls").alias("b")).agg(F.count(F.lit(1)).alias("k")).groupBy("a").agg(best.alias("b"))
-    linked = Cut(corpus.compared(partner).where("linked"), "stars").df
+    linked = Cut(corpus.compared(stars.select(c("cls").alias("a"), c("head.cls").alias("b"))).where("linked"), "stars").df
     label = components(linked)
 
     # A cluster is a class that has linked with no smaller one, and those that have linked with it.
     outer = linked.select(c("a").alias("b")).distinct().withColumn("outer", F.lit(True))
-    member = linked.join(outer, "b", "left").where("outer IS NULL").select(c("a").alias("cls"), c("b").alias("centre"), (c("n") - c("most")).alias("own"))
+    closest = F.max_by(F.struct(c("b").alias("centre"), (c("n") - c("most")).alias("own")), F.struct("most", -c("b"))).alias("best")
+    member = linked.join(outer, "b", "left").where("outer IS NULL").groupBy(c("a").alias("cls")).agg(closest).select("cls", "best.*")
     placed = lists.select("value", "cls", "n", "place").join(member, "cls", "left")
     placed = _labelled(placed.withColumns({"centre": F.coalesce("centre", "cls"), "own": F.coalesce("own", F.lit(0))}), label, "cls", "label")
     placed = Cut(placed, "placed")
     several = placed.df.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("value", "n")
-    mixed = Cut(meet(placed.df, Cut(several, "mixed").df, "value", "left_semi"), "mixed").df
+    mixed = Cut(meet(placed.df, Counted(several, "mixed"), "value", "left_semi"), "mixed").df
     placed.drop()
 
     # Clusters that meet in a list, by the extremes of their members there.
@@ -349,17 +348,17 @@ def links(corpus: _Corpus) -> DataFrame:
 
     # Members that the bound can't rule out, of clusters that are still apart.
     again = components(joined)
-    extreme = mixed.groupBy("centre").agg(F.max("own").alias("own"), F.min("n").alias("n1"), F.max(c("cls") != c("centre")).alias("wide"))
+    members = Cut(mixed.select("cls", "n", "centre", "own").distinct(), "members").df
+    extreme = members.groupBy("centre").agg(F.max("own").alias("own"), F.min("n").alias("n1"), F.max(c("cls") != c("centre")).alias("wide"))
     side = lambda s: extreme.select(c("centre").alias(s), c("own").alias(f"own_{s}"), c("n1").alias(f"n_{s}"), c("wide").alias(f"wide_{s}"))
     apart = _labelled(_labelled(centres.where("NOT linked").select("a", "b", "most"), again, "a", "label_a"), again, "b", "label_b").where("label_a != label_b")
     apart = apart.join(side("a"), "a").join(side("b"), "b").where("wide_a OR wide_b").where(c("most") + c("own_a") + c("own_b") >= enough(c("n_a"), c("n_b"), percent))
-    open_ = triples.join(Cut(apart.select("a", "b", "most"), "apart").df, ["a", "b"])
-    of = lambda s: mixed.select("value", c("centre").alias(s), F.struct("cls", "n", "place", "own").alias(f"{s}{s}"))
-    expanded = open_.join(of("a"), ["value", "a"]).join(of("b"), ["value", "b"])
-    bound = c("most") + c("aa.own") + c("bb.own") >= enough(c("aa.n"), c("bb.n"), percent)
-    new = (c("aa.cls") != c("a")) | (c("bb.cls") != c("b"))
-    rest = expanded.where(bound & new & corpus.meets(c("aa.n"), c("aa.place"), c("bb.n"), c("bb.place"))).select(c("aa.cls").alias("a"), c("bb.cls").alias("b"))
-    more = corpus.compared(rest).where("linked").select("a", "b")
+    near_it = lambda s, other: apart_.join(members.select(c("centre").alias(s), F.struct("cls", "n", "own").alias("m")), s).where(c("most") + c("m.own") + c(f"own_{other}") >= enough(c("m.n"), c(f"n_{other}"), percent))
+    apart_ = Cut(apart.select("a", "b", "most", "own_a", "own_b", "n_a", "n_b"), "apart").df
+    left, right = near_it("a", "b").select("a", "b", "most", c("m").alias("x")), near_it("b", "a").select("a", "b", c("m").alias("y"))
+    bound = c("most") + c("x.own") + c("y.own") >= enough(c("x.n"), c("y.n"), percent)
+    rest = left.join(right, ["a", "b"]).where(bound & corpus.near(c("x.n"), c("y.n")) & ((c("x.cls") != c("a")) | (c("y.cls") != c("b"))))
+    more = corpus.compared(rest.select(c("x.cls").alias("a"), c("y.cls").alias("b"))).where("linked").select("a", "b")
     return Cut(joined.union(more), "links").df
 
 
@@ -374,9 +373,9 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, sketch:
     corpus = _Corpus(docs, width, percent, sketch)
     classes = corpus.filled.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
     named = Cut(_labelled(classes, components(links(corpus)), "cls", "component"), "named").df
-    smallest = Cut(named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "smallest").df
-    ids = Cut(meet(named.select("component", "cls", F.col("n").alias("copies")), smallest, "component"), "classes").df
-    full = meet(corpus.filled.select("a", "b", "doc_id", "cls", F.col("n").alias("n_shingles")), ids.withColumnRenamed("copies", "n"), "cls")
+    smallest = Counted(named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "smallest")
+    ids = Counted(meet(named.withColumnRenamed("n", "copies"), smallest, "component").select("component", "component_id", "cls", F.col("copies").alias("n")), "classes")
+    full = meet(corpus.filled.select("a", "b", "doc_id", "cls", F.col("n").alias("n_shingles")), ids, "cls")
     empty = corpus.sets.where("n = 0").select("a", "b", "doc_id", "cls", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
     out = full.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     extra = [F.struct("a", "b").alias("row"), "component"] if rows else []
@@ -388,5 +387,5 @@ def duplicates(docs: DataFrame, width: int = 5, percent: int = 80, sketch: int |
     and of rows that have it the one with the smallest key. Texts without words stay."""
     found = Cut(near_duplicates(docs, width, percent, sketch, rows=True).where("component IS NOT NULL").select("component", "doc_id", "row"), "found").df
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    stays = Cut(found.groupBy("component").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1"), "stays").df
+    stays = Counted(found.groupBy("component").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1"), "stays")
     return meet(found, stays, "component").where("first.row != row").select("row")
