@@ -229,7 +229,9 @@ class _Corpus:
         """a, b, n, m, most, linked for pairs (a, b) of classes: their sizes, what their intersection is at most, and
         whether they are similar."""
         k, percent = self.k, self.percent
-        found = Cut(pairs.select("a", "b").distinct(), "pairs")
+        found = Cut(pairs.select("a", "b").distinct(), "pairs", rows=F.count(F.lit(1)))
+        if not found.found["rows"]:
+            return found.spark.createDataFrame([], "a long, b long, n long, m long, most long, linked boolean")
         some = "cls long, row long, size long, sketch binary"
         wanted = Mask(found.df.select(F.col("a").alias("cls")).union(found.df.select("b")), "cls")
 
@@ -257,10 +259,12 @@ class _Corpus:
         rated = Cut(mapped(self._beside(found.df, sketches.df.withColumnRenamed("sketch", "items")), estimate, tested), "rated")
         found.drop()
         unsure = (F.col("inter") < 0) & (F.col("most") >= enough(F.col("n"), F.col("m"), percent))
-        left = Cut(rated.df.where(unsure).select("a", "b"), "unsure")
-        exact = mapped(self._beside(left.df, self._sets(left.df, sketches.df)), estimate_exact, tested)
+        left = Cut(rated.df.where(unsure).select("a", "b"), "unsure", rows=F.count(F.lit(1)))
+        decided = rated.df.where(~unsure)
+        if left.found["rows"]:
+            decided = decided.unionByName(mapped(self._beside(left.df, self._sets(left.df, sketches.df)), estimate_exact, tested))
         linked = (F.col("inter") >= 0) & (F.col("inter") >= enough(F.col("n"), F.col("m"), percent))
-        out = Cut(rated.df.where(~unsure).unionByName(exact).select("a", "b", "n", "m", "most", linked.alias("linked")), "compared")
+        out = Cut(decided.select("a", "b", "n", "m", "most", linked.alias("linked")), "compared")
         for x in (sketches, rated, left):
             x.drop()
         return out.df
@@ -310,8 +314,8 @@ def _labelled(df: DataFrame, label: DataFrame, column: str, name: str) -> DataFr
     return df.join(label.withColumnsRenamed({"node": column, "label": name}), column, "left").withColumn(name, F.coalesce(name, column))
 
 
-def links(corpus: _Corpus) -> DataFrame:
-    """Links (a, b) of classes whose components are those of all links."""
+def labels(corpus: _Corpus) -> DataFrame:
+    """(node, label) of the components of all links, for the classes that have any."""
     percent, c = corpus.percent, F.col
     lists = corpus.lists()
     stars = lists.where("cls != head.cls").where(corpus.meets(c("n"), c("place"), c("head.n"), c("head.place")))
@@ -342,12 +346,12 @@ def links(corpus: _Corpus) -> DataFrame:
     loose = lambda s: c(f"{s}.place") <= F.least(c(f"{s}.n2"), F.lit(k)) - shared + 1
     can = F.when(single, corpus.meets(c("x.n1"), c("x.place"), c("y.n1"), c("y.place"))).otherwise(sizes & loose("x") & loose("y"))
     met = x.join(y, (c("x.value") == c("y.value")) & (c("x.centre") < c("y.centre")) & (c("x.label") != c("y.label")) & can)
-    triples = Cut(met.select(c("x.value").alias("value"), c("x.centre").alias("a"), c("y.centre").alias("b")), "met").df
-    centres = corpus.compared(triples)
-    joined = Cut(linked.select("a", "b").union(centres.where("linked").select("a", "b")), "links").df
+    centres = corpus.compared(met.select(c("x.centre").alias("a"), c("y.centre").alias("b")))
+    new = Cut(centres.where("linked").select("a", "b"), "links", rows=F.count(F.lit(1)))
+    joined = linked.select("a", "b").union(new.df)
 
     # Members that the bound can't rule out, of clusters that are still apart.
-    again = components(joined)
+    again = components(joined) if new.found["rows"] else label
     members = Cut(mixed.select("cls", "n", "centre", "own").distinct(), "members").df
     extreme = members.groupBy("centre").agg(F.max("own").alias("own"), F.min("n").alias("n1"), F.max(c("cls") != c("centre")).alias("wide"))
     side = lambda s: extreme.select(c("centre").alias(s), c("own").alias(f"own_{s}"), c("n1").alias(f"n_{s}"), c("wide").alias(f"wide_{s}"))
@@ -358,8 +362,8 @@ def links(corpus: _Corpus) -> DataFrame:
     left, right = near_it("a", "b").select("a", "b", "most", c("m").alias("x")), near_it("b", "a").select("a", "b", c("m").alias("y"))
     bound = c("most") + c("x.own") + c("y.own") >= enough(c("x.n"), c("y.n"), percent)
     rest = left.join(right, ["a", "b"]).where(bound & corpus.near(c("x.n"), c("y.n")) & ((c("x.cls") != c("a")) | (c("y.cls") != c("b"))))
-    more = corpus.compared(rest.select(c("x.cls").alias("a"), c("y.cls").alias("b"))).where("linked").select("a", "b")
-    return Cut(joined.union(more), "links").df
+    more = Cut(corpus.compared(rest.select(c("x.cls").alias("a"), c("y.cls").alias("b"))).where("linked").select("a", "b"), "links", rows=F.count(F.lit(1)))
+    return components(joined.union(more.df)) if more.found["rows"] else again
 
 
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, sketch: int | None = SKETCH, rows: bool = False) -> DataFrame:
@@ -372,7 +376,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, sketch:
     few_rows(docs.sparkSession)
     corpus = _Corpus(docs, width, percent, sketch)
     classes = corpus.filled.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
-    named = Cut(_labelled(classes, components(links(corpus)), "cls", "component"), "named").df
+    named = Cut(_labelled(classes, labels(corpus), "cls", "component"), "named").df
     smallest = Counted(named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "smallest")
     ids = Counted(meet(named.withColumnRenamed("n", "copies"), smallest, "component").select("component", "component_id", "cls", F.col("copies").alias("n")), "classes")
     full = meet(corpus.filled.select("a", "b", "doc_id", "cls", F.col("n").alias("n_shingles")), ids, "cls")
