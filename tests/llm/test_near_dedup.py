@@ -104,3 +104,19 @@ def test_duplicates_by_row(spark, odd):
     left = [(r.doc_id, r.text) for r in without(df, gone).collect()]
     assert len(left) == 4 and {(6, ""), (7, None), (5, "other words")} < set(left) and [d for d, t in left if t and t.startswith("w0")] == [5]
     assert without(odd, near_dedup.duplicates(odd)).columns == odd.columns
+
+
+def test_hot_keys_are_dealt_and_nothing_else_changes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from vectrill.llm import _shared
+
+    rows = spark.range(3000).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id") % 50).alias("k"), "id", F.array("id").alias("more"))
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("k != 3")
+    want = sorted(map(tuple, rows.join(table.drop("n"), "k").select("k", "id", "first").collect()))
+    for least in (10_000, 100):
+        monkeypatch.setattr(_shared, "LEAST", least)
+        counted = _shared.Counted(table, "test")
+        got = _shared.meet(rows, counted, "k")
+        assert got.columns == ["k", "id", "more", "first"] and sorted(map(tuple, got.select("k", "id", "first").collect())) == want
+        assert _shared.meet(rows, counted, "k", "left_semi").count() == len(want)

@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ._arrow import release
+
 #: ASCII white space, the only separator of words here.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,8 +85,8 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
 
 #: Bits of a ``Mask``: 4 MiB, whatever it is made of.
 MASK = 25
-#: A key with more than 1/HOT of the rows is hot, so there are HOT of them at most.
-HOT = 1000
+#: A key with more than 1/HOT of the rows, and LEAST rows at least, is hot: there are HOT of them at most.
+HOT, LEAST = 1000, 10_000
 
 
 class Mask:
@@ -100,6 +102,7 @@ class Mask:
         self.bits = np.zeros(1 << (MASK - 3), np.uint8)
         for r in parts.agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767)).cast("long")).alias("bits")).collect():
             self.bits[r["block"] << 12 : (r["block"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
+        release()
 
     def has(self, h: np.ndarray) -> np.ndarray:
         bit = (h >> np.uint64(64 - MASK)).astype(np.int64)
@@ -116,14 +119,19 @@ class Counted(Cut):
 def meet(rows: DataFrame, counted: Counted, key: str, how: str = "inner") -> DataFrame:
     """``rows`` joined with a counted table, though a key may hold most rows.
 
-    Rows of hot keys meet a broadcast table of at most HOT rows where they are; only the others are shuffled.
+    Rows of a hot key are dealt by a hash of the row over as many salts as it has times the rows that make a key hot, and
+    its row of the table is repeated for each: at most 2 * HOT rows more, whatever the input. Only hot keys are broadcast.
     """
     total, table = counted.found["total"] or 0, counted.df
-    if (counted.found["most"] or 0) * HOT <= total:
+    size = max(total // HOT, LEAST)
+    if (counted.found["most"] or 0) <= size:
         return rows.join(table.drop("n"), key, how)
-    hot = F.broadcast(table.where(F.col("n") * HOT > total).drop("n"))
-    cold = table.where(F.col("n") * HOT <= total).drop("n")
-    return rows.join(hot, key, how).unionByName(rows.join(hot, key, "left_anti").join(cold, key, how))
+    salts = F.ceil(F.col("n") / size).cast("int")
+    hot = F.broadcast(table.where(F.col("n") > size).select(key, salts.alias("_salts")))
+    salt = F.coalesce(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.col("_salts")).cast("int"), F.lit(0))
+    dealt = rows.join(hot, key, "left").withColumn("_salt", salt).drop("_salts")
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
+    return dealt.join(copies, [key, "_salt"], how).drop("_salt")
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
