@@ -1,8 +1,13 @@
 """The index: recall with a control that must fail, full budget, persistence, clustering, validation."""
 
+import shutil
+import zlib
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from vectrill.functions import vectors as V
 from vectrill.operators import knn
@@ -25,17 +30,93 @@ def hard(spark):
     return frame(spark, m[:5000]).cache(), frame(spark, m[5000:], 10_000, ("query_id", "q")).cache()
 
 
-@pytest.mark.parametrize("bits,distance", [(None, "l2"), (8, "ip"), (4, "l2")])
-def test_recall(spark, hard, bits, distance):
-    points, queries = hard
-    index = VectorIndex(points, Parameters(64, 64, bits, 32, distance=distance)).build()
+@F.udf(BinaryType())
+def noise(b, bits):
+    rng = np.random.default_rng(zlib.crc32(b))
+    return rng.bytes(len(b)) if bits else rng.standard_normal(len(b) // 4).astype("<f4").tobytes()
+
+
+def control(index):
+    """The same index with random codes: what re-ranking alone finds."""
+    fix = F.when(F.col("b_fix").isNotNull(), (F.rand(1) - 0.5).cast("float"))
+    index.points = index.points.withColumns({"b": noise("b", F.lit(index.params.quantization_bits or 0)), "b_fix": fix})
+    return index
+
+
+@pytest.mark.parametrize("bits,distance,rank,dtype", [(None, "l2", 32, "f32"), (None, "ip", 16, "bf16"), (8, "ip", 32, "f16"), (8, "l2", 64, "u8"), (4, "l2", 16, "bf16"), (4, "ip", 64, "f32")])
+def test_recall(spark, hard, bits, distance, rank, dtype):
+    """A covering part of the grid of distances, bits, ranks and types; a search of half of the clusters."""
+    points, queries = (typed(df, c, dtype) for df, c in zip(hard, "vq", strict=True))
+    index = VectorIndex(points, Parameters(64, 64, bits, rank, distance=distance, dtype=dtype)).build()
     exact = index.exact_search(queries, 10)
     found = index.search(queries, 10, 32, 100)
-    share = knn.recall(found, exact, 10).first()["recall"]
+    share = knn.compute_recall(found, exact)
     assert share >= 0.9
-    # control: random candidates of the same number instead of the modelled scores
-    index.models = index.models.withColumn("a", F.transform("a", lambda x: F.rand(1) - 0.5))
-    assert knn.recall(index.search(queries, 10, 32, 100), exact, 10).first()["recall"] < 0.6 < share
+    row = index.points.selectExpr("max(length(v)) as v", "max(length(b)) as b").first()
+    assert row["v"] == 128 * {"f32": 8, "f16": 2, "bf16": 2, "u8": 1}[dtype]  # doubles were given here
+    kept = min(rank, 63) if bits else rank  # one component more is kept apart, and all are 64
+    assert row["b"] == (kept if bits == 8 else (kept + 1) // 2 if bits == 4 else 4 * kept)
+    assert knn.recall(control(index).search(queries, 10, 32, 100), exact, 10).first()["recall"] < 0.6 < share
+
+
+def typed(df, column, dtype):
+    """The vectors in another type: bytes from 0 to 255, or the bit patterns of half floats."""
+    @F.udf("array<int>")
+    def patterns(v):
+        x = np.array(v, np.float32)
+        if dtype == "f16":
+            return x.astype(np.float16).view(np.uint16).tolist()
+        if dtype == "bf16":
+            return ((x.view(np.uint32) + 0x8000) >> 16).tolist()
+        return np.clip(np.round(x * 300 + 127), 0, 255).astype(int).tolist()
+
+    return df if dtype == "f32" else df.withColumn(column, patterns(column)).cache()
+
+
+def test_hamming_recall(spark, hard):
+    points, queries = hard
+    packed = lambda df, c: df.withColumn(c, V.pack_bits(F.transform(c, lambda x: (x > 0).cast("int"))))
+    points, queries = packed(points, "v").cache(), packed(queries, "q").cache()
+    index = VectorIndex(points, Parameters(64, 128, 8, 32, distance="hamming")).build()
+    exact = index.exact_search(queries, 10)
+    want = {(r.query_id, r.rank): r.distance for r in exact.collect()}
+    hit = lambda: np.mean([r.distance <= want[r.query_id, 10] for r in index.search(queries, 10, 32, 200).collect()])  # noqa: E731  ties are many
+    share = hit()
+    assert share >= 0.9 and index.points.selectExpr("max(length(v)) as v").first()["v"] == 16
+    control(index)
+    assert hit() < 0.7
+
+
+def test_joined_search_finds_what_a_scan_finds(spark, hard, monkeypatch):
+    points, queries = hard
+    for bits in (None, 4):
+        index = VectorIndex(points, Parameters(16, 64, bits, 32, distance="l2")).build()
+        want = sorted(map(tuple, index.search(queries, 7, 5, 60).collect()))
+        for name, value in (("PART", 100), ("CHUNK", 8)):
+            monkeypatch.setattr("vectrill.operators.index." + name, value)
+        monkeypatch.setattr(knn, "BYTES", 1000)
+        assert sorted(map(tuple, index.search(queries, 7, 5, 60).collect())) == want
+        plans = [index.search(q, 7, 5, 60)._jdf.queryExecution().analyzed().treeString().count("\n") for q in (queries, queries.union(queries.withColumn("query_id", F.col("query_id") + 1000)))]
+        assert plans[0] + 2 >= plans[1] - 4
+        monkeypatch.undo()
+
+
+def test_codes():
+    """Integer products with compensation against the sums that they stand for."""
+    rng = np.random.default_rng(1)
+    z, b = rng.standard_normal((5, 17)), rng.standard_normal((40, 17))
+    b[3, 1:] = 0
+    for bits in (8, 4):
+        q, c = V.Codes.of(z, 8), V.Codes.of(b, bits)
+        again = V.Codes.unpacked(c.packed(), c.scale, c.fix, bits, 16)
+        assert (again.codes == c.codes).all() and c.packed().shape[1] == (16 if bits == 8 else 8)
+        got = q.product(again)
+        for i in range(5):
+            for j in range(40):
+                ints = sum((int(x) - 128) * (int(y) - c.offset) for x, y in zip(q.codes[i], c.codes[j], strict=True))
+                scale = float(q.scale[i]) * float(c.scale[j])
+                assert got[i, j] == pytest.approx((ints / scale if scale else 0) + float(q.fix[i]) * float(c.fix[j]), rel=1e-12)
+        assert np.abs(got - z @ b.T).max() < (0.15 if bits == 8 else 2.5)
 
 
 def test_full_budget_saved_and_loaded(spark, tmp_path):
@@ -111,7 +192,12 @@ def test_reduction(spark):
 
 
 def test_decoding_and_recall(spark):
-    x = np.array([1.5, -2.0, 0.0], np.float32)
+    x = np.array([1.5, -2.0, 0.0, 6e-8, 65504, -0.375], np.float32)
+    for kind, bits in (("f16", x.astype("<f2").view(np.uint16)), ("bf16", (x.view(np.uint32) >> 16).astype(np.uint16))):
+        for given in (bits.astype(int).tolist(), bits.view(np.int16).astype(int).tolist()):
+            row = spark.createDataFrame([(given,)], "v array<int>").select(V.from_bits(F.col("v"), kind).alias("v")).first()
+            assert row["v"] == V.from_half(bits.tobytes(), kind).astype(float).tolist()
+    x = x[:3]
     assert (V.from_half(x.astype("<f2").tobytes()) == x).all() and (V.from_half((x.view(np.uint32) >> 16).astype("<u2").tobytes(), "bf16") == x).all()
     rows = lambda lists: spark.createDataFrame([(q, i) for q, ids in enumerate(lists) for i in ids], "query_id long, id long")
     for found, exact, want in (([[1, 2, 3]], [[3, 2, 1]], 1.0), ([[1, 2]], [[3, 4]], 0.0), ([[1, 2], [3, 4]], [[1, 5], [3, 6]], 0.5)):
@@ -135,7 +221,70 @@ def test_errors(spark):
         with pytest.raises(ValueError):
             call()
     m[0, 0] = np.nan
-    with pytest.raises(Exception, match="numbers"):
-        VectorIndex(frame(spark, m), Parameters(4, rank=16)).build()
+    bad, short = frame(spark, m), points.withColumn("v", F.when(F.col("id") == 3, F.slice("v", 1, 63)).otherwise(F.col("v")))
+    for rows, what in ((bad, "numbers"), (short, "components"), (points.limit(1).withColumn("v", F.lit(None).cast("array<double>")), "no points")):
+        with pytest.raises(ValueError, match=what):
+            VectorIndex(rows, Parameters(1, rank=16)).build()
+    with pytest.raises(ValueError):
+        VectorIndex(points, Parameters(4, rank=16)).build(training_queries=frame(spark, m[1:, :32]))
+    for rows, what in ((bad, "numbers"), (short, "components")):
+        with pytest.raises(Exception, match=what):
+            knn.exact_knn(rows, queries, 3).count()
+    with pytest.raises(Exception, match="components"):  # two rows whose lengths add up to two of 64
+        V.matrix(pa.array([[0.0] * 63, [0.0] * 65]))
     assert knn.exact_knn(points.limit(0), queries, 3).count() == 0 and knn.exact_knn(points, queries.limit(0), 3).count() == 0
-    assert points.select(V.checked(F.col("v"), 64)).count() == 40
+    with pytest.raises(ValueError):
+        index.search(frame(spark, m[:1], 0, ("query_id", "q")), 1, 1, 1)
+
+
+def test_one_rule_for_nulls_and_repeated_ids(spark):
+    """Null vectors are skipped; every row is a point, whatever its id."""
+    m = np.random.default_rng(2).standard_normal((64, 32))
+    rows = [(i // 2, x) for i, x in enumerate(m.tolist())] + [(None, m[0].tolist()), (99, None)]
+    points = spark.createDataFrame(rows, "id long, v array<double>")
+    queries = spark.createDataFrame([(0, m[5].tolist()), (1, None)], "query_id long, q array<double>")
+    for balanced in (False, True):
+        index = VectorIndex(points, Parameters(4, 32, 8, 16, distance="l2", balanced=balanced)).build()
+        assert index.n_samples == 65 == index.points.count() and index.points.where("id IS NULL").count() == 1
+        assert [(r.query_id, r.id) for r in index.search(queries, 1, 4, 65).collect()] == [(0, 2)]
+    assert [(r.query_id, r.id) for r in knn.exact_knn(points, queries, 1, "l2").collect()] == [(0, 2)] == [(r.query_id, r.id) for r in knn.knn_join(points, queries, 1, "l2").collect()]
+    k = KMeans(3, distance="l2")
+    assert k.train(points).count() == 65 and k.assign(points, 2).count() == 130
+    assert k.cost(points) == pytest.approx(np.mean([min(((x - c) ** 2).sum() for c in k.centroids) for x in [*m, m[0]]]))
+    ip = KMeans(3)
+    ip.train(points)
+    assert ip.cost(points) == pytest.approx(np.mean([max(x @ c for c in ip.centroids) for x in [*m, m[0]]]))
+
+
+def test_dissimilarity_recall_shapes_and_files(spark, tmp_path, caplog):
+    m = np.random.default_rng(2).standard_normal((64, 32))
+    points = frame(spark, m)
+    index = VectorIndex(points, Parameters(2, 32, 8, 16, distance="l2"))
+    with caplog.at_level("INFO"):
+        index.build(verbose=True)
+    assert "clusters are trained" in caplog.text
+    assert index.get_dissimilarity(m[0], m[1]) == pytest.approx(((m[0] - m[1]) ** 2).sum())
+    assert VectorIndex(points, Parameters(2, 32, None, 16)).get_dissimilarity(m[0], m[1]) == pytest.approx(-m[0] @ m[1])
+    assert VectorIndex(None, Parameters(2, distance="hamming")).get_dissimilarity([1, 255], [0, 254]) == 2
+    with pytest.raises(ValueError):
+        index.get_dissimilarity(m[0], m[1][:31])
+    rows = lambda k: spark.createDataFrame([(q, r, r) for q in range(2) for r in range(1, k + 1)], "query_id long, rank int, id long")
+    assert knn.compute_recall(rows(3), rows(3)) == 1
+    with pytest.raises(ValueError):
+        knn.compute_recall(rows(3), rows(4))
+    at = f"file://{tmp_path}"
+    with pytest.raises(FileNotFoundError):
+        VectorIndex.load(spark, f"{at}/none")
+    spark.createDataFrame([("{}",)], "meta string").write.parquet(f"{at}/other/meta")
+    points.write.parquet(f"{at}/kind/meta")
+    for name in ("other", "kind"):
+        with pytest.raises(ValueError):
+            VectorIndex.load(spark, f"{at}/{name}")
+    index.save(f"{at}/index")
+    shutil.rmtree(tmp_path / "index/points")
+    with pytest.raises(OSError, match="index"):
+        VectorIndex.load(spark, f"{at}/index")
+    (tmp_path / "bad/meta").mkdir(parents=True)
+    (tmp_path / "bad/meta/part-0.parquet").write_bytes(b"no table")
+    with pytest.raises(OSError, match="bad"):
+        VectorIndex.load(spark, f"{at}/bad")

@@ -22,6 +22,11 @@ def nearest(m: np.ndarray, centroids: np.ndarray, k: int, distance: str) -> np.n
     score = -(m @ centroids.T)
     if distance == L2:
         score = 2 * score + (centroids * centroids).sum(1)
+    if k == 1:
+        return score.argmin(1)[:, None]
+    if k < len(centroids) // 4:  # the k least and all that tie with them, then in order
+        edge = np.partition(score, k - 1, axis=1)[:, k - 1 : k]
+        score = np.where(score <= edge, score, np.inf)
     return np.argsort(score, axis=1, kind="stable")[:, : min(k, len(centroids))]
 
 
@@ -55,7 +60,7 @@ class KMeans:
         """(id, cluster_id) of points (id, v)."""
         if self.trained:
             raise RuntimeError("the clustering is trained already")
-        points = points.select("id", "v")
+        points = points.where("v IS NOT NULL").select("id", "v")
         n = points.count()
         if n < self.n_clusters:
             raise RuntimeError("fewer points than clusters")
@@ -107,22 +112,37 @@ class KMeans:
                         raise ValueError(f"vectors have {m.shape[1]} components, centroids {c.shape[1]}")
                     near = nearest(m, c, k, distance)
                     w = near.shape[1]
-                    yield pa.RecordBatch.from_pydict({"id": np.repeat(b.column(0).to_numpy(), w), "rank": np.tile(np.arange(1, w + 1, dtype=np.int32), len(m)), "cluster_id": near.ravel().astype(np.int32)})
+                    yield pa.RecordBatch.from_pydict({"id": b.column(0).take(pa.array(np.repeat(np.arange(len(m)), w))), "rank": np.tile(np.arange(1, w + 1, dtype=np.int32), len(m)), "cluster_id": near.ravel().astype(np.int32)})
 
-        return points.select(F.col("id").cast("long"), "v").mapInArrow(run, "id long, rank int, cluster_id int")
+        return points.where("v IS NOT NULL").select(F.col("id").cast("long"), "v").mapInArrow(run, "id long, rank int, cluster_id int")
+
+    def cost(self, points: DataFrame) -> float:
+        """The mean of the squared distances of points (v) to their nearest centroids, or of their inner products with them."""
+        c, distance = self.centroids, self.distance
+
+        def run(batches):
+            total, n = 0.0, 0
+            for b in batches:
+                if b.num_rows:
+                    m = matrix(b.column(0), c.shape[1])
+                    near = c[nearest(m, c, 1, distance)[:, 0]]
+                    total, n = total + float(((m - near) ** 2).sum() if distance == L2 else (m * near).sum()), n + len(m)
+            yield pa.RecordBatch.from_pydict({"total": [total], "n": [n]})
+
+        r = points.where("v IS NOT NULL").select("v").mapInArrow(run, "total double, n long").agg(F.sum("total").alias("t"), F.sum("n").alias("n")).first()
+        return r["t"] / r["n"] if r["n"] else 0.0
 
     def _train_balanced(self, points: DataFrame, n: int) -> DataFrame:
         if n > BALANCE_ROWS:
             raise ValueError(f"balancing takes at most {BALANCE_ROWS} vectors")
         got = points.orderBy("id").toArrow()
-        ids, m = got["id"].to_numpy(), matrix(got["v"].combine_chunks())
+        ids, m = got["id"].combine_chunks(), matrix(got["v"])
         rng = np.random.default_rng(self.seed)
         c = self._finished(m[np.sort(rng.choice(n, self.n_clusters, replace=False))].copy())
         for i in range(self.iters):
             own = nearest(m, c, 1, self.distance)[:, 0]
             counts = np.bincount(own, minlength=len(c))
-            sums = np.zeros_like(c)
-            np.add.at(sums, own, m)
+            sums = by_cluster(m, own, len(c))
             c = self._split(np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], c), counts, i)
         own, self._centroids = balance(m, c, self.distance, self.max_balance_diff, self.penalty_factor)
         return points.sparkSession.createDataFrame(pa.table({"id": ids, "cluster_id": own.astype(np.int32)}))
@@ -142,8 +162,9 @@ def balance(m: np.ndarray, c: np.ndarray, distance: str, most_diff: int, factor:
         if size.max() - size.min() <= most_diff:
             break
         price *= factor
-    sums = np.zeros_like(c)
-    np.add.at(sums, own, m)
+    else:
+        raise RuntimeError(f"the sizes of clusters still differ by {int(size.max() - size.min())} after {rounds} rounds")
+    sums = by_cluster(m, own, len(c))
     c = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], c)
     if distance == IP:
         n = np.linalg.norm(c, axis=1, keepdims=True)
@@ -151,6 +172,16 @@ def balance(m: np.ndarray, c: np.ndarray, distance: str, most_diff: int, factor:
     return own, c
 
 
+def by_cluster(m: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """The sum of each cluster's rows."""
+    order = np.argsort(own, kind="stable")
+    found, first = np.unique(own[order], return_index=True)
+    out = np.zeros((k, m.shape[1]))
+    if len(found):
+        out[found] = np.add.reduceat(m[order], first, axis=0)
+    return out
+
+
 def step(points: DataFrame, centroids: np.ndarray, distance: str) -> tuple[np.ndarray, np.ndarray]:
     """Sums and counts of the points (v) nearest to each centroid."""
 
@@ -158,9 +189,9 @@ def step(points: DataFrame, centroids: np.ndarray, distance: str) -> tuple[np.nd
         sums, counts = np.zeros_like(centroids), np.zeros(len(centroids), np.int64)
         for b in batches:
             if b.num_rows:
-                m = matrix(b.column(0))
+                m = matrix(b.column(0), centroids.shape[1])
                 own = nearest(m, centroids, 1, distance)[:, 0]
-                np.add.at(sums, own, m)
+                sums += by_cluster(m, own, len(sums))
                 counts += np.bincount(own, minlength=len(counts))
         use = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"cluster_id": use.astype(np.int32), "n": counts[use], "total": pa.array(list(sums[use]), pa.list_(pa.float64()))})
@@ -171,6 +202,6 @@ def step(points: DataFrame, centroids: np.ndarray, distance: str) -> tuple[np.nd
 
     shape = "cluster_id int, n long, total array<double>"
     sums, counts = np.zeros_like(centroids), np.zeros(len(centroids), np.int64)
-    for r in points.select("v").mapInArrow(run, shape).groupBy("cluster_id").applyInArrow(add, shape).collect():
+    for r in points.where("v IS NOT NULL").select("v").mapInArrow(run, shape).groupBy("cluster_id").applyInArrow(add, shape).collect():
         sums[r["cluster_id"]], counts[r["cluster_id"]] = r["total"], r["n"]
     return sums, counts

@@ -1,11 +1,12 @@
 """Exact k nearest neighbours: a stated set of queries against all rows, in blocks of queries.
 
-Each block of at most ``BLOCK`` queries goes to the tasks that scan the points. A task multiplies batches of points by
-the block's matrix and keeps k candidates for each query, so that k rows for each query and task are shuffled.
-Distances of candidates are computed anew in the order of components.
+Queries of at most ``BYTES`` together go to the tasks of one scan of the points. A task multiplies batches of points by
+blocks of queries and keeps k candidates for each query, so that k rows for each query and task are shuffled.
+Distances of candidates are computed anew in the order of components. More queries take more scans, one for each ``BYTES``.
 
-Defined cases: fewer than k points give fewer rows; ties go to the smaller id; null vectors are skipped; an empty table on
-either side gives no rows. Any other columns are ignored.
+Defined cases: fewer than k points give fewer rows; ties go to the smaller id; null vectors are skipped; vectors of another
+width than the first query's, or with components that aren't numbers, are errors; an empty table on either side gives no rows. Any
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,22 +21,27 @@ from pyspark.sql import functions as F
 from ..functions.vectors import DISTANCES, IP, COSINE, dissimilarity, matrix, pair_distance, prepared
 from .topk import least, top_k
 
-BLOCK, BATCH = 1024, 2048
+BYTES, BLOCK, BATCH = 64 << 20, 1024, 2048
 FOUND = "query_id long, id long, distance double"
 _SHAPE = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
 
 
-def blocks(queries: DataFrame, size: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) of queries (query_id, q), some at a time."""
-    ids, vectors = [], []
+def blocks(queries: DataFrame, size: int = BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of queries (query_id, q), as many at a time as fill ``size`` bytes."""
+    ids, vectors, held = [], [], 0
     for r in queries.where("q IS NOT NULL").select("query_id", F.col("q").cast("array<double>").alias("q")).toLocalIterator():
         ids.append(r[0])
         vectors.append(r[1])
-        if len(ids) == size:
-            yield np.array(ids), np.array(vectors)
-            ids, vectors = [], []
+        held += 8 * len(r[1]) + 8
+        if held >= size:
+            yield _block(ids, vectors)
+            ids, vectors, held = [], [], 0
     if ids:
-        yield np.array(ids), np.array(vectors)
+        yield _block(ids, vectors)
+
+
+def _block(ids: list, vectors: list) -> tuple[np.ndarray, np.ndarray]:
+    return np.array(ids), matrix(pa.array(vectors, pa.list_(pa.float64())))
 
 
 def approximate(q: np.ndarray, v: np.ndarray, distance: str) -> np.ndarray:
@@ -59,25 +65,41 @@ def exact_knn(points: DataFrame, queries: DataFrame, k: int, distance: str = IP)
     points = points.where("v IS NOT NULL").select(F.col("id").cast("long"), "v")
     out = points.sparkSession.createDataFrame([], FOUND)
     for ids, raw in blocks(queries):
-        out = out.union(points.mapInArrow(_scan(ids, prepared(raw, distance), k, distance), FOUND))
+        out = out.union(points.mapInArrow(_scan(ids, prepared(raw, distance), raw.shape[1], k, distance), FOUND))
     return top_k(out, "query_id", "distance", "id", k).select("query_id", "rank", "id", "distance")
 
 
-def _scan(ids: np.ndarray, q: np.ndarray, k: int, distance: str):
+def _scan(ids: np.ndarray, q: np.ndarray, width: int, k: int, distance: str):
     def run(batches):
-        kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))  # query number, id, distance
+        kept = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)) for _ in range(0, len(ids), BLOCK)]  # query number, id, distance
         for b in batches:
             for at in range(0, b.num_rows, BATCH):
                 part = b.slice(at, BATCH)
-                v, own = prepared(matrix(part.column(1)), distance), part.column(0).to_numpy()
-                scores = approximate(q, v, distance)
-                i, j = least(scores, k, 1e-9 * (1 + float(np.abs(scores).max())))
-                kept = _best(*(np.concatenate(x) for x in zip(kept, (i, own[j], pair_distance(q[i], v[j], distance)), strict=True)), k)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[kept[0]]), pa.array(kept[1]), pa.array(kept[2])], schema=_SHAPE)
+                v, own = prepared(matrix(part.column(1), width), distance), ids_of(part.column(0))
+                for n, first in enumerate(range(0, len(ids), BLOCK)):
+                    some = q[first : first + BLOCK]
+                    scores = approximate(some, v, distance)
+                    i, j = least(scores, k, 1e-9 * (1 + float(np.abs(scores).max())))
+                    new = (i + first, own[j], pair_distance(some[i], v[j], distance))
+                    kept[n] = _best(*(np.concatenate(x) for x in zip(kept[n], new, strict=True)), k)
+        for query, item, value in kept:
+            yield pa.RecordBatch.from_arrays([pa.array(ids[query]), ids_back(item), pa.array(value)], schema=_SHAPE)
 
     return run
 
 
+#: Stands for a null id among numbers: it is larger than any other.
+NO_ID = (1 << 63) - 1
+
+
+def ids_of(column: pa.Array) -> np.ndarray:
+    return column.fill_null(NO_ID).to_numpy(zero_copy_only=False)
+
+
+def ids_back(ids: np.ndarray) -> pa.Array:
+    return pa.array(ids, mask=ids == NO_ID)
+
+
 def _best(query: np.ndarray, item: np.ndarray, value: np.ndarray, k: int) -> tuple:
     order = np.lexsort((item, value, query))
     query = query[order]
@@ -91,6 +113,7 @@ def knn_join(points: DataFrame, queries: DataFrame, k: int, distance: str = IP,
     validate(k, distance)
     if queries.count() > broadcast_rows:
         raise ValueError(f"more than {broadcast_rows} queries: use exact_knn, which takes them in blocks")
+    points, queries = points.where("v IS NOT NULL"), queries.where("q IS NOT NULL")
     pairs = points.crossJoin(F.broadcast(queries)).select("query_id", "id", dissimilarity(F.col("q"), F.col("v"), distance).alias("distance"))
     return top_k(pairs, "query_id", "distance", "id", k).select("query_id", "rank", "id", "distance")
 
@@ -100,3 +123,12 @@ def recall(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:
     n = exact.select("query_id").distinct().agg(F.count(F.lit(1)).alias("n"))
     hits = found.select("query_id", "id").distinct().join(exact.select("query_id", "id").distinct(), ["query_id", "id"]).agg(F.count(F.lit(1)).alias("hits"))
     return hits.crossJoin(n).select((F.col("hits") / (F.col("n") * k)).alias("recall"))
+
+
+def compute_recall(found: DataFrame, exact: DataFrame) -> float:
+    """The mean share of exact (query_id, rank, id) that is in found; both must have the same queries and ranks."""
+    shape = lambda df: tuple(df.agg(F.countDistinct("query_id"), F.countDistinct("rank"), F.count(F.lit(1))).first())
+    a, b = shape(found), shape(exact)
+    if a != b:
+        raise ValueError(f"found and exact have different shapes: {a[:2]} and {b[:2]}")
+    return recall(found, exact, b[1]).first()["recall"]

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.vectors import matrix
 
 
+#: Matrices with more rows and columns than this are sketched first.
+WIDE = 2048
+
+
 def sample(df: DataFrame, n: int, key: str = "id", seed: int = 0) -> DataFrame:
     """Exactly n rows (or all), the same for the same seed."""
     return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
@@ -55,9 +59,11 @@ def rotation(n: int, seed: int = 0, keep_first: bool = False) -> np.ndarray:
 
 
 def compute_v(y: np.ndarray, r: int) -> np.ndarray:
-    """The first r right singular vectors as columns; missing ones are zero."""
+    """The first r right singular vectors as columns; missing ones are zero. Large matrices by subspace iteration."""
     if not np.isfinite(y).all():
         raise ValueError("values must be numbers")
+    if min(y.shape) > WIDE and r + 10 < min(y.shape) // 4:
+        return randomized_v(y, r)
     vt = np.linalg.svd(y, full_matrices=False)[2][:r]
     return np.pad(vt, ((0, r - len(vt)), (0, 0))).T
 
