@@ -2,8 +2,9 @@
 
 No row leaves its partition and no user function runs: counts of words, characters, symbols, lines and repeated
 windows are array expressions on the row's own text, and the verdict is a conjunction of comparisons made from
-``RULES``. Defined cases: a null or an empty text has no words, fails the base and isn't kept; repeated rows get
-equal verdicts; other columns of the input aren't read.
+``RULES``. A rule can have an exception: the stop-word rule knows a few languages only, so sentence ends excuse a text
+without its stop words; scripts that are written without blanks have no short words. Defined cases: a null or an empty text has no words,
+fails the base and isn't kept; repeated rows get equal verdicts; an empty table has no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -13,8 +14,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WORD
-
 GAP = r"[\x20\x09-\x0D]+"
 STOP = (
     "the of and to in a is that it for on was with as be by this are at from or an not have which "
@@ -24,22 +23,29 @@ STOP = (
 ).split()
 
 
+#: Ends of sentences, and letters of scripts without blanks (Thai, Lao, Khmer, kana, Han, Hangul).
+ENDS = "[.!?\u2026\u3002\uff01\uff1f\u061f\u0964]"
+UNSPACED = "[\u0e00-\u0eff\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]"
+
+
 @dataclass(frozen=True)
 class Rule:
-    """The ratio ``top / bottom`` must lie in [least, most]; a row whose bottom is 0 passes."""
+    """The ratio ``top / bottom`` must lie in [least, most]; a row whose bottom is 0 passes, and so does one of which the
+    ratio of the two measures in ``unless`` is at least the number there."""
 
     name: str
     top: str
     bottom: str
     least: float | None = None
     most: float | None = None
+    unless: tuple[str, str, float] | None = None
 
 
 #: Lenient on purpose: prose in any of the languages passes, tables of symbols and word salad don't.
 RULES = (
-    Rule("mean_word_length", "word_chars", "n_words", 1.5, 20.0),
+    Rule("mean_word_length", "word_chars", "n_words", 1.5, 20.0, ("n_unspaced", "word_chars", 0.3)),
     Rule("symbols_per_word", "n_symbols", "n_words", None, 0.25),
-    Rule("stop_word_share", "n_stop", "n_words", 0.01, None),
+    Rule("stop_word_share", "n_stop", "n_words", 0.01, None, ("n_ends", "n_words", 0.02)),
     Rule("duplicate_line_share", "n_dup_lines", "n_lines", None, 0.5),
     Rule("words_per_line", "n_words", "n_lines", 1.5, None),
 )
@@ -84,7 +90,6 @@ def measures(docs: DataFrame) -> DataFrame:
     split = docs.select("doc_id", text.alias("text")).select("doc_id", "text", F.filter(F.split("text", GAP), lambda w: w != "").alias("words"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     distinct = bind(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d")))
-    stop = F.array(*[F.lit(w) for w in dict.fromkeys(STOP)])
     return split.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
@@ -93,21 +98,28 @@ def measures(docs: DataFrame) -> DataFrame:
         distinct.alias("lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
         F.size(F.filter("words", lambda w: F.lower(w).isin(*dict.fromkeys(STOP)))).cast("long").alias("n_stop"),
+        F.regexp_count("text", F.lit(ENDS)).cast("long").alias("n_ends"),
+        F.regexp_count("text", F.lit(UNSPACED)).cast("long").alias("n_unspaced"),
     ).select(
         "doc_id", "n_words", "word_chars", "n_symbols", (F.col("lines")["n"] - F.col("lines")["d"]).cast("long").alias("n_dup_lines"),
-        "n_repeat_words", F.col("lines")["n"].cast("long").alias("n_lines"), "n_stop",
+        "n_repeat_words", F.col("lines")["n"].cast("long").alias("n_lines"), "n_stop", "n_ends", "n_unspaced",
     )
 
 
 def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
     """One boolean expression from the threshold table."""
+    ratio = lambda top, bottom: F.col(top) / F.nullif(F.col(bottom), F.lit(0))
     out = F.lit(True)
     for r in rules:
-        ratio = F.col(r.top) / F.nullif(F.col(r.bottom), F.lit(0))
+        within = F.lit(True)
         if r.least is not None:
-            out = out & F.coalesce(ratio >= r.least, F.lit(True))
+            within = within & (ratio(r.top, r.bottom) >= r.least)
         if r.most is not None:
-            out = out & F.coalesce(ratio <= r.most, F.lit(True))
+            within = within & (ratio(r.top, r.bottom) <= r.most)
+        passes = F.coalesce(within, F.lit(True))
+        if r.unless:
+            passes = passes | F.coalesce(ratio(*r.unless[:2]) >= r.unless[2], F.lit(False))
+        out = out & passes
     return out
 
 
