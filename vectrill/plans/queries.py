@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +13,8 @@ from ..operators import knn
 from ..operators.index import Parameters, VectorIndex
 from ..operators.kmeans import KMeans, step
 from ..operators.reduce import principal_components, second_moment
-from ..sources.store import vectors
+from ..sources.store import shared_dir, vectors
+from ..streaming.search import search_stream
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -168,22 +172,41 @@ def kmeans_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(V.l2(F.col("v"), F.col("c"))), 6).alias("cost"))
 
 
-@query()
+def _sizes(own: DataFrame) -> DataFrame:
+    return own.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS n, 16 AS clusters, true AS nearest FROM embeddings")
 def kmeans_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return KMeans(16, distance=V.L2).train(vectors(spark, sf_dir))
+    """Every vector is in one of 16 clusters, that of the centroid with the least distance by the plain expression."""
+    p, k = vectors(spark, sf_dir), KMeans(16, distance=V.L2)
+    own = k.train(p)
+    by = F.array(*[V.l2(F.col("v"), F.array(*[F.lit(float(x)) for x in c])) for c in k.centroids])
+    both = p.select("id", by.alias("by")).join(own, "id").select("cluster_id", (F.get("by", "cluster_id") <= F.array_min("by") * (1 + 1e-9)).alias("nearest"))
+    return both.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cluster_id").cast("int").alias("clusters"), F.min("nearest").alias("nearest"))
 
 
-@query()
+@query("SELECT count(*) AS n, 16 AS clusters, true AS balanced FROM embeddings")
 def kmeans_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return KMeans(16, distance=V.IP, balanced=True).train(vectors(spark, sf_dir))
+    """The sizes of clusters differ by 16 at most."""
+    sizes = _sizes(KMeans(16, distance=V.IP, balanced=True).train(vectors(spark, sf_dir)))
+    return sizes.agg(F.sum("n").alias("n"), F.count(F.lit(1)).cast("int").alias("clusters"), (F.max("n") - F.min("n") <= 16).alias("balanced"))
+
 
+_EIGHT = "SELECT a.i AS row, b.i AS col, {} AS value, {} AS moment FROM (SELECT unnest(range(0, 8)) AS i) a, (SELECT unnest(range(0, 8)) AS i) b"
 
-@query()
+
+@query(_EIGHT.format("(a.i = b.i)::INTEGER::DOUBLE", "(a.i = b.i)::INTEGER::DOUBLE"))
 def pca_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of 8 directions, and second moments of the data along them, as shares of the two directions' own: both are those of
+    an orthogonal system of principal axes, the identity."""
     p = vectors(spark, sf_dir)
     w = principal_components(second_moment(p), 8)
     cols = [F.array(*[F.lit(float(x)) for x in c]) for c in w.T]
-    return p.select("id", *[V.dot(F.col("v"), c).alias(f"c{i}") for i, c in enumerate(cols)])
+    reduced = p.select(F.array(*[V.dot(F.col("v"), c) for c in cols]).alias("v"))
+    m, g = second_moment(reduced), w.T @ w
+    rows = [(i, j, float(g[i, j]), float(m[i, j] / np.sqrt(m[i, i] * m[j, j]))) for i in range(8) for j in range(8)]
+    return spark.createDataFrame(rows, "row long, col long, value double, moment double").withColumns({c: F.abs(F.round(c, 6)) for c in ("value", "moment")})
 
 
 def _index(spark: SparkSession, sf_dir: str, **kw) -> tuple[DataFrame, VectorIndex]:
@@ -203,13 +226,37 @@ def ann_full_budget_float(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.search(asked(p), 10, 16, index.n_samples)
 
 
-@query()
+def _good(found: DataFrame, exact: DataFrame, least: float) -> DataFrame:
+    """queries, rows and whether the recall is at least ``least``."""
+    n = found.agg(F.countDistinct("query_id").alias("queries"), F.count(F.lit(1)).alias("n"))
+    return n.withColumn("good", F.lit(knn.compute_recall(found, exact) >= least))
+
+
+_ASKED = "SELECT count(*) AS queries, 10 * count(*) AS n, true AS good FROM embeddings WHERE vec_id % 50 = 0"
+
+
+@query(_ASKED)
 def ann_search_4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """4 bits, three quarters of the clusters, 100 points re-ranked; these vectors have no clusters to speak of."""
     p, index = _index(spark, sf_dir, distance=V.L2, quantization_bits=4)
-    return index.search(asked(p), 10, 12, 100)
+    return _good(index.search(asked(p), 10, 12, 100), index.exact_search(asked(p), 10), 0.7)
 
 
-@query()
+@query(_ASKED)
 def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """8 bits, all clusters, 100 points re-ranked."""
+    p, index = _index(spark, sf_dir, distance=V.L2, quantization_bits=8)
+    return _good(index.search(asked(p), 10, 16, 100), index.exact_search(asked(p), 10), 0.9)
+
+
+@query(_knn_sql(_L2))
+def stream_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries as a stream of files, at full budget: what its batches have written."""
     p, index = _index(spark, sf_dir, distance=V.L2, quantization_bits=8)
-    return knn.recall(index.search(asked(p), 10, 16, 100), index.exact_search(asked(p), 10), 10)
+    at = f"{shared_dir(spark)}/vectrill-stream-{uuid.uuid4().hex}"
+    asked(p).repartition(2).write.parquet(f"{at}/queries")
+    stream = spark.readStream.schema(asked(p).schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/queries")
+    # overwriting the folder of its number, a batch that is run again leaves one result
+    sink = lambda df, n: df.write.mode("overwrite").parquet(f"{at}/found/batch={n}")
+    search_stream(index, stream, sink, 10, 16, index.n_samples).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/found").drop("batch")
