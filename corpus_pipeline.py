@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vectrill.llm import decontaminate, language, line_dedup, near_dedup, packing
 from vectrill.llm._shared import Cut, once, without
-from vectrill.llm.queries import tokenizer
 
 #: Line dedup, near-dedup and packing are not SQL; the stages are tested one by one against brute force.
 ORACLE_SQL = None
@@ -23,7 +22,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     score at least, which is still kept. The model learns from the documents at hand that name a language; if none does,
     all go. An empty table stays empty.
     """
-    return language.keep_identified(docs, language.fit(docs, tokenizer("piece_bpe_32k.model")))
+    return language.keep_identified(docs, language.fit(docs, "piece_bpe_32k.model"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +57,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences of 1024 tokens: null and empty texts are the end token alone, repeated rows are packed once
     each, an empty table has no pieces."""
-    return packing.pack(docs, tokenizer("byte_bpe_50k.json"), width=1024, end_id=0)
+    return packing.pack(docs, "byte_bpe_50k.json", width=1024, end_id=0)
 
 
 STAGES = [("language ID", identify), ("line dedup", lines), ("near-dedup", near), ("decontamination", clean), ("packing", pack)]
