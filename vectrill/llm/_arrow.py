@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -66,5 +67,17 @@ def release() -> None:
 
 
 def few_rows(spark) -> None:
-    """Batches between the JVM and Python hold few rows, so that long texts don't add up."""
+    """Batches between the JVM and Python hold few rows, so that long texts don't add up.
+
+    This is a setting of the session, read when a lazy plan runs, so it stays.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(4 * BATCH))
+
+
+def located(file: str) -> str:
+    """Where a tokenizer file is on this machine: a path as given, or the place of a public file of this name."""
+    if os.sep in file:
+        return file
+    import public_tokenizers
+
+    return public_tokenizers.path(file)

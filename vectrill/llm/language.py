@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._arrow import arrow_schema, batch, few_rows, mapped
+from ._arrow import arrow_schema, batch, few_rows, located, mapped
 from ._words import U64, prefix, span
 
 SAMPLE, WORDS, LONGEST, LANGUAGES = 2000, 25_000, 64, 1000
@@ -60,7 +60,7 @@ def vocabulary(path: str) -> list[bytes]:
     """The ordinary pieces of a SentencePiece file, as UTF-8 in lower case."""
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    sp = sentencepiece.SentencePieceProcessor(model_file=located(path))
     skip = lambda i: sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)
     return sorted({sp.id_to_piece(i).lower().encode() for i in range(sp.get_piece_size()) if not skip(i)})
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import arrow_schema, batch, few_rows, mapped
+from ._arrow import arrow_schema, batch, few_rows, located, mapped
 from ._shared import Cut
 
 OPEN, FAN = 32, 256
@@ -43,7 +43,7 @@ def encoder(path: str):
     if path not in _encoders:
         import tiktoken
 
-        with open(path, encoding="utf-8") as f:
+        with open(located(path), encoding="utf-8") as f:
             spec = json.load(f)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}

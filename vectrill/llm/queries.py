@@ -18,12 +18,6 @@ from . import toxicity as _toxicity
 from ._shared import held_out
 
 
-def tokenizer(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,7 +33,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _token_count.count_tokens(_read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    return _token_count.count_tokens(_read(spark, sf_dir, "documents"), "piece_bpe_32k.model")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,12 +62,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _packing.pack(_read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), width=1024, end_id=0)
+    return _packing.pack(_read(spark, sf_dir, "documents"), "byte_bpe_50k.json", width=1024, end_id=0)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    model = _language.fit(docs.where(~held_out(F.col("doc_id"), 4)), tokenizer("piece_bpe_32k.model"))
+    model = _language.fit(docs.where(~held_out(F.col("doc_id"), 4)), "piece_bpe_32k.model")
     return _language.identify(docs, model).select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "lang_pred", "score", "n_words")
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import arrow_schema, batch, few_rows, mapped
+from ._arrow import arrow_schema, batch, few_rows, located, mapped
 
 SPACE, STEPS, UNKNOWN, CACHE = "▁", 64, 10, 300_000
 COUNTED = "doc_id long, n_chars long, n_tokens long"
@@ -32,7 +32,7 @@ def vocabulary(path: str) -> dict[str, int]:
     """Piece to score in units of 1/STEPS, for the file's ordinary pieces."""
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    sp = sentencepiece.SentencePieceProcessor(model_file=located(path))
     ids = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
     return {sp.id_to_piece(i): -round(STEPS * math.log(rank + 1)) for rank, i in enumerate(ids)}
 
