@@ -76,7 +76,7 @@ def test_components(spark):
 def test_clusters_whose_members_link_though_centres_do_not(spark):
     """Two families whose first members are apart, linked only by their outer members; with and without sampling."""
     rng = random.Random(11)
-    for size in (100, 900):
+    for size in (100, 2500):
         base = [f"v{rng.randrange(10**6)}" for _ in range(size)]
         rows = []
         for i in range(12):  # a chain: each differs from the one before in 2 % of its words

@@ -43,6 +43,19 @@ def _remove(spark: SparkSession, path: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Paths to remove at the end. Not the tables themselves: their plans would stay in the driver's memory.
+_paths: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _clear() -> None:
+    for path, spark in _paths.items():
+        try:
+            _remove(spark, path)
+        except Exception:  # the session is gone
+            return
+
+
 class Cut:
     """A DataFrame written as Parquet to the shared folder and read again, so later steps don't repeat its lineage.
 
@@ -58,14 +71,11 @@ class Cut:
         (df.observe(told, *[c.alias(k) for k, c in measures.items()]) if measures else df).write.parquet(self.path)
         self.found = told.get if measures else {}
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
-        atexit.register(self.drop)
+        _paths[self.path] = self.spark
 
     def drop(self) -> None:
-        atexit.unregister(self.drop)
-        try:
+        if _paths.pop(self.path, None):
             _remove(self.spark, self.path)
-        except Exception:  # the session is gone at interpreter exit
-            return
 
 
 def lower_ascii(c: Column) -> Column:
@@ -114,6 +124,12 @@ class Counted(Cut):
 
     def __init__(self, df: DataFrame, name: str) -> None:
         super().__init__(df, name, total=F.sum("n"), most=F.max("n"))
+        self.plain = self.df.drop("n")
+
+    def of(self, table: DataFrame, key: str) -> Counted:
+        """These counts for a table with one row a key that isn't written again."""
+        self.plain, self.df = table, table.join(self.df.select(key, "n"), key)
+        return self
 
 
 def meet(rows: DataFrame, counted: Counted, key: str, how: str = "inner") -> DataFrame:
@@ -125,7 +141,7 @@ def meet(rows: DataFrame, counted: Counted, key: str, how: str = "inner") -> Dat
     total, table = counted.found["total"] or 0, counted.df
     size = max(total // HOT, LEAST)
     if (counted.found["most"] or 0) <= size:
-        return rows.join(table.drop("n"), key, how)
+        return rows.join(counted.plain, key, how)
     salts = F.ceil(F.col("n") / size).cast("int")
     hot = F.broadcast(table.where(F.col("n") > size).select(key, salts.alias("_salts")))
     salt = F.coalesce(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.col("_salts")).cast("int"), F.lit(0))

@@ -1,6 +1,6 @@
 """Near-duplicates by bottom-k sketches from one hash function.
 
-Sketch. A document's set is its distinct shingles, hashed; the sketch keeps the ``SKETCH`` smallest hashes (48 bits of
+Sketch. A document's set is its distinct shingles, hashed; the sketch keeps the ``SKETCH`` smallest hashes (40 bits of
 each). Documents with equal sets form a class, and only classes are compared, so copies never multiply pairs.
 
 Candidates. Each class enters the inverted lists of its rarest retained values. Two linked sets share at least ``t``
@@ -40,7 +40,7 @@ from ._shared import Counted, Cut, Mask, meet, row_key
 from ._words import chunks, doc_words, mix, planes, unplanes
 from .components import components
 
-SKETCH, Z = 256, 3.5
+SKETCH, Z = 1024, 3.5
 BUCKETS, BLOCKS, FAN = 22, 64, 64
 #: Classes of a task that it remembers to have sent.
 SEEN = 100_000
@@ -70,12 +70,16 @@ def class_of(s: np.ndarray) -> int:
 
 
 def coded(s: np.ndarray) -> bytes:
-    """The high 48 bits of sorted hashes."""
-    return planes(s >> np.uint64(16), 6)
+    """The high 40 bits of sorted hashes."""
+    return planes(s >> np.uint64(24), 5)
 
 
 def decoded(b: bytes) -> np.ndarray:
-    return unplanes(b, 6) << np.uint64(16)
+    return unplanes(b, 5) << np.uint64(24)
+
+
+def full(s: np.ndarray) -> bytes:
+    return planes(s)
 
 
 def sampled(k: int, share: float) -> int:
@@ -150,13 +154,16 @@ class _Corpus:
             total = sum(unplanes(x, 5) for x in got["counts"].to_pylist())
             return table([[key[0].as_py()], [key[1].as_py()], [planes(total, 5)]], made)
 
+        def step(key, got):
+            total = sum(unplanes(x, 5) for x in got["counts"].to_pylist())
+            return table([[key[0].as_py()], [0], [(2 * np.log2(1 + total.astype(float))).astype(np.uint8).tobytes()]], made)
+
         rows = mapped(self.filled.select("sketch"), count, shape)
-        for _ in range(3):
+        for _ in range(2):
             rows = rows.groupBy("block", F.expr(f"part div {FAN}").alias("up")).applyInArrow(add, shape)
         out = np.zeros((BLOCKS, size // BLOCKS), np.uint8)
-        for r in rows.toLocalIterator():
-            total = np.frombuffer(r["counts"], np.uint8)
-            out[r["block"]] = np.maximum(out[r["block"]], (2 * np.log2(1 + unplanes(total.tobytes(), 5).astype(float))).astype(np.uint8))
+        for r in rows.groupBy("block").applyInArrow(step, shape).toLocalIterator():
+            out[r["block"]] = np.frombuffer(r["counts"], np.uint8)
         return out.reshape(-1)
 
     def lists(self) -> DataFrame:
@@ -217,14 +224,6 @@ class _Corpus:
         """Whether a value at places p and q lies in the heads that linked classes of sizes n and m must share."""
         return self.near(n, m) & (p <= _head(n, n, m, self.k, self.percent)) & (q <= _head(m, n, m, self.k, self.percent))
 
-    def _beside(self, pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-        """pairs (a, b) with x and y from this column of sets (cls, ...), though one class may be in most pairs."""
-        for own, name in (("a", "x"), ("b", "y")):
-            counts = pairs.groupBy(own).agg(F.count(F.lit(1)).alias("n"))
-            side = Cut(sets.select(F.col("cls").alias(own), F.struct("size", column).alias(name)).join(counts, own), "beside")
-            pairs = meet(pairs, side.df, own)
-        return pairs
-
     def compared(self, pairs: DataFrame) -> DataFrame:
         """a, b, n, m, most, linked for pairs (a, b) of classes: their sizes, what their intersection is at most, and
         whether they are similar."""
@@ -261,15 +260,17 @@ class _Corpus:
         unsure = (F.col("inter") < 0) & (F.col("most") >= enough(F.col("n"), F.col("m"), percent))
         left = Cut(rated.df.where(unsure).select("a", "b"), "unsure", rows=F.count(F.lit(1)))
         decided = rated.df.where(~unsure)
-        if left.found["rows"]:
-            decided = decided.unionByName(mapped(self._beside(left.df, self._sets(left.df, sketches.df)), estimate_exact, tested))
+        sets = self._sets(left.df, sketches.df) if left.found["rows"] else None
+        if sets:
+            decided = decided.unionByName(mapped(self._beside(left.df, sets.df), estimate_exact, tested))
         linked = (F.col("inter") >= 0) & (F.col("inter") >= enough(F.col("n"), F.col("m"), percent))
         out = Cut(decided.select("a", "b", "n", "m", "most", linked.alias("linked")), "compared")
-        for x in (sketches, rated, left):
-            x.drop()
+        for x in (sketches, rated, left, sets):
+            if x:
+                x.drop()
         return out.df
 
-    def _sets(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    def _sets(self, pairs: DataFrame, sketches: DataFrame) -> Cut:
         """cls, size, items of the classes of ``pairs``: their full sets, made again from the texts of one row each, with
         a few others that a mask lets pass."""
         rows = Cut(_one_each(sketches, pairs, "row"), "rows")
@@ -281,17 +282,17 @@ class _Corpus:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 texts = b.column(1).filter(pa.array(wanted.has(b.column(0).to_numpy().view(np.uint64)))).to_pylist()
-                out = [(class_of(s), len(s), coded(s)) for s in shingles(texts, width) if len(s)]
+                out = [(class_of(s), len(s), full(s)) for s in shingles(texts, width) if len(s)]
                 yield batch(list(zip(*out, strict=True)) if out else [[]] * 3, shape)
 
-        return Cut(_one_each(mapped(self.docs.select("a", "text"), scan, some), pairs, "size", "items"), "sets").df
+        return Cut(_one_each(mapped(self.docs.select("a", "text"), scan, some), pairs, "size", "items"), "sets")
 
     def _beside(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """a, b, x and y for pairs (a, b): size and items of both, though one class may be in most pairs."""
+        plain = pairs
         for own, name in (("a", "x"), ("b", "y")):
-            counts = pairs.groupBy(own).agg(F.count(F.lit(1)).alias("n"))
-            side = Counted(sets.select(F.col("cls").alias(own), F.struct("size", "items").alias(name)).join(counts, own), "beside")
-            pairs = meet(pairs, side, own)
+            counts = Counted(plain.groupBy(own).agg(F.count(F.lit(1)).alias("n")), "counts")
+            pairs = meet(pairs, counts.of(sets.select(F.col("cls").alias(own), F.struct("size", "items").alias(name)), own), own)
         return pairs.select("a", "b", "x", "y")
 
 
@@ -299,7 +300,7 @@ def estimate_exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     shape = arrow_schema("a long, b long, n long, m long, inter long, most long")
     for t in batches:
         xs, ys = t.column(2).to_pylist(), t.column(3).to_pylist()
-        inter = [len(np.intersect1d(decoded(x["items"]), decoded(y["items"]), True)) for x, y in zip(xs, ys, strict=True)]
+        inter = [len(np.intersect1d(unplanes(x["items"]), unplanes(y["items"]), True)) for x, y in zip(xs, ys, strict=True)]
         yield batch([t.column(0), t.column(1), [x["size"] for x in xs], [y["size"] for y in ys], inter, inter], shape)
 
 
