@@ -35,3 +35,13 @@ def test_stages_on_odd_rows(spark, sf, odd, none):
         for _, stage in P.STAGES:
             docs = stage(spark, docs, sf).cache()
             docs.count()
+
+
+def test_rows_that_share_an_id(spark, sf):
+    """Rows are told apart by their texts: nothing kept is lost, nothing contaminated or repeated stays."""
+    text = " ".join(f"word{i}" for i in range(40))
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 80").first().text
+    rows = [(5, "something else that nobody has said before today", "en", "a", 1), (5, text, "en", "a", 1), (4, text, "en", "a", 1), (4, text, "en", "a", 1), (None, item, "en", "a", 1), (None, "another text without an id that is quite short", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = P.clean(spark, P.near(spark, docs, sf).cache(), sf)
+    assert sorted((str(d), t) for d, t in pairs(left)) == sorted((str(d), t) for d, t in {(r[0], r[1]) for r in (rows[0], rows[2], rows[5])})
