@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +11,7 @@ from ..operators import knn
 from ..operators.index import Parameters, VectorIndex
 from ..operators.kmeans import KMeans, step
 from ..operators.reduce import principal_components, second_moment
-from ..sources.store import shared_dir, vectors
+from ..sources.store import folder, vectors
 from ..streaming.search import search_stream
 
 QUERIES: dict = {}
@@ -253,7 +251,7 @@ def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The queries as a stream of files, at full budget: what its batches have written."""
     p, index = _index(spark, sf_dir, distance=V.L2, quantization_bits=8)
-    at = f"{shared_dir(spark)}/vectrill-stream-{uuid.uuid4().hex}"
+    at = folder(spark, "stream")
     asked(p).repartition(2).write.parquet(f"{at}/queries")
     stream = spark.readStream.schema(asked(p).schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/queries")
     # overwriting the folder of its number, a batch that is run again leaves one result

@@ -26,9 +26,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_folders: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _clear() -> None:
+    for path, spark in _folders.items():
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session is gone
+            return
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver's interpreter ends."""
+    path = f"{shared_dir(spark)}/vectrill-{name}-{uuid.uuid4().hex}"
+    _folders[path] = spark
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written once and read again: what follows doesn't repeat their lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/vectrill-{name}-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
