@@ -88,3 +88,16 @@ def test_odd(odd, none):
     got = sorted((str(r.doc_id), r.n_chars, r.n_tokens) for r in token_count.count_tokens(odd, MODEL).collect())
     assert got == sorted((str(r.doc_id), len(r.text or ""), c.count(r.text)) for r in odd.collect())
     assert token_count.count_tokens(none, MODEL).count() == 0
+
+
+def test_very_long_texts(spark, unigram):
+    """Whole: one run of the dynamic programme over all characters, and the tokenizer on parts that blanks keep apart."""
+    c, rng = token_count.Counter(token_count.vocabulary(MODEL)), random.Random(3)
+    words = ["the", "station", "ing", "é", "日本", "x" * 40, "", "a.b,c", "🙂"]
+    parts = [" ".join(rng.choice(words) for _ in range(400)) + " end" for _ in range(40)]
+    text = " ".join(parts)
+    assert len(text) > 60_000
+    whole = c.viterbi(token_count.SPACE + text.replace(" ", token_count.SPACE))
+    got = token_count.count_tokens(spark.createDataFrame([(1, text), (2, "y" * 50_000)], "doc_id long, text string"), MODEL).collect()
+    assert [r.n_tokens for r in sorted(got)] == [whole, c.viterbi(token_count.SPACE + "y" * 50_000)]
+    assert c.count(parts[0]) == len(unigram.encode(parts[0]))
