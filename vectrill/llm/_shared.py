@@ -173,7 +173,7 @@ def once(docs: DataFrame) -> DataFrame:
     if not repeated.df.limit(1).count():
         return docs
     single = keyed.join(repeated.df, "row", "left_anti")
-    return single.union(keyed.join(repeated.df, "row", "left_semi").groupBy("row").agg(F.first("doc").alias("doc")).select("doc", "row")).select("doc.*")
+    return single.unionByName(keyed.join(repeated.df, "row", "left_semi").groupBy("row").agg(F.first("doc").alias("doc")).select("doc", "row")).select("doc.*")
 
 
 def partitions(spark: SparkSession) -> int:
