@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -93,6 +94,12 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(F.col(column)).cast("long")), F.lit(0)).alias("n")).first()["n"]
 
 
+def forget(spark: SparkSession) -> None:
+    """Shuffle files of finished plans go when the driver's collectors run, else after half an hour: after large steps they are asked to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Bits of a ``Mask``: 4 MiB, whatever it is made of.
 MASK = 25
 #: A key with more than 1/HOT of the rows, and LEAST rows at least, is hot: there are HOT of them at most.

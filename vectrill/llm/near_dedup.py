@@ -7,7 +7,7 @@ Candidates. Each class enters the inverted lists of its rarest retained values.
 retained values: exactly known where both sketches are whole sets, else the ``Z`` sigma lower limit of a sample (a chance of
 2e-4 to lose a link that lies just at the threshold, and next to none above it). Of the values ordered by rarity, the first ``size - t + 1`` of
 each then share one. Where two classes meet in a list, ``t`` is that of their two sizes, mostly a larger one, and the
-value's place in both orders must lie in the then shorter heads. Rarity is a count over all documents in 2^22 buckets:
+value's place in both orders must lie in the then shorter heads. Rarity is a count over all documents in 2^24 buckets:
 a fixed total order of fixed size, whatever the corpus. With ``sketch=None`` sketches are whole sets: no link can be lost.
 
 Pairs. A group of thousands of near copies, or of texts around one passage that stay below the threshold, must not be
@@ -35,13 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import arrow_schema, batch, few_rows, mapped, table
-from ._shared import Counted, Cut, Mask, meet, row_key
+from ._arrow import arrow_schema, batch, few_rows, mapped, release, table
+from ._shared import Counted, Cut, Mask, forget, meet, row_key
 from ._words import chunks, doc_words, mix, planes, unplanes
 from .components import components
 
-SKETCH, Z = 1024, 3.5
-BUCKETS, BLOCKS, FAN = 22, 64, 64
+SKETCH, Z = 512, 3.5
+BUCKETS, BLOCKS, FAN = 24, 64, 64
 #: Classes of a task that it remembers to have sent.
 SEEN = 100_000
 SET = "a long, b long, doc_id long, cls long, n long, sketch binary"
@@ -142,13 +142,15 @@ class _Corpus:
         made = arrow_schema(shape)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(size, np.int64)
+            total = np.zeros(size, np.uint32)
             for b in batches:
                 if b.num_rows:
                     v = np.concatenate([decoded(x) for x in b.column(0).to_pylist()])
-                    total += np.bincount((mix(v) >> np.uint64(64 - BUCKETS)).astype(np.int64), minlength=size)
+                    u, n = np.unique((mix(v) >> np.uint64(64 - BUCKETS)).astype(np.int64), return_counts=True)
+                    total[u] += n.astype(np.uint32)
             for i, x in enumerate(total.reshape(BLOCKS, -1)):
                 yield batch([[i], [TaskContext.get().partitionId()], [planes(x.astype(np.uint64), 5)]], made)
+            release()
 
         def add(key, got):
             total = sum(unplanes(x, 5) for x in got["counts"].to_pylist())
@@ -212,8 +214,11 @@ class _Corpus:
         once = Cut(mapped(kept, rows, listed).distinct(), "lists")
         head = F.min(F.struct("cls", "n", "place")).alias("head")
         heads_ = once.df.groupBy("value").agg(head, F.max("cls").alias("hi"), F.count(F.lit(1)).alias("n")).where("head.cls != hi").drop("hi")
-        out = Cut(meet(once.df, Counted(heads_, "heads"), "value"), "lists")
+        heads_ = Counted(heads_, "heads")
+        out = Cut(meet(once.df, heads_, "value"), "lists")
         once.drop()
+        heads_.drop()
+        forget(out.spark)
         return out.df
 
     def near(self, n: Column, m: Column) -> Column:
@@ -268,6 +273,7 @@ class _Corpus:
         for x in (sketches, rated, left, sets):
             if x:
                 x.drop()
+        forget(found.spark)
         return out.df
 
     def _sets(self, pairs: DataFrame, sketches: DataFrame) -> Cut:
