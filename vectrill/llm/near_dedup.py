@@ -136,10 +136,10 @@ class _Corpus:
     def rarity(self) -> np.ndarray:
         """A step on a logarithmic scale for each bucket of values: how many documents retain one of them.
 
-        Each task sends its whole table in blocks, which are added in a tree of ``FAN`` branches.
+        Each task sends its counts in blocks, which are added in a tree of ``FAN`` branches.
         """
-        shape, size = "block int, part long, counts binary", 1 << BUCKETS
-        made = arrow_schema(shape)
+        shape, size = "block int, part long, places binary, counts binary", 1 << BUCKETS
+        made, wide = arrow_schema(shape), size // BLOCKS
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(size, np.uint32)
@@ -148,17 +148,25 @@ class _Corpus:
                     v = np.concatenate([decoded(x) for x in b.column(0).to_pylist()])
                     u, n = np.unique((mix(v) >> np.uint64(64 - BUCKETS)).astype(np.int64), return_counts=True)
                     total[u] += n.astype(np.uint32)
-            for i, x in enumerate(total.reshape(BLOCKS, -1)):
-                yield batch([[i], [TaskContext.get().partitionId()], [planes(x.astype(np.uint64), 5)]], made)
+            use, part = np.flatnonzero(total), TaskContext.get().partitionId()
+            for i in np.unique(use // wide).tolist():
+                own = use[np.searchsorted(use, i * wide) : np.searchsorted(use, (i + 1) * wide)]
+                yield batch([[i], [part], [planes(np.diff(own - i * wide, prepend=0), 3)], [planes(total[own], 5)]], made)
             release()
 
+        def summed(got) -> np.ndarray:
+            out = np.zeros(wide, np.uint64)
+            for at, n in zip(got["places"].to_pylist(), got["counts"].to_pylist(), strict=True):
+                out[np.cumsum(unplanes(at, 3)).astype(np.int64)] += unplanes(n, 5)
+            return out
+
         def add(key, got):
-            total = sum(unplanes(x, 5) for x in got["counts"].to_pylist())
-            return table([[key[0].as_py()], [key[1].as_py()], [planes(total, 5)]], made)
+            total = summed(got)
+            use = np.flatnonzero(total)
+            return table([[key[0].as_py()], [key[1].as_py()], [planes(np.diff(use, prepend=0), 3)], [planes(total[use], 5)]], made)
 
         def step(key, got):
-            total = sum(unplanes(x, 5) for x in got["counts"].to_pylist())
-            return table([[key[0].as_py()], [0], [(2 * np.log2(1 + total.astype(float))).astype(np.uint8).tobytes()]], made)
+            return table([[key[0].as_py()], [0], [None], [(2 * np.log2(1 + summed(got).astype(float))).astype(np.uint8).tobytes()]], made)
 
         rows = mapped(self.filled.select("sketch"), count, shape)
         for _ in range(2):
