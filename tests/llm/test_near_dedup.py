@@ -90,8 +90,8 @@ def test_clusters_whose_members_link_though_centres_do_not(spark):
                 rows.append((len(rows), " ".join(t)))
         rng.shuffle(rows)
         df = spark.createDataFrame(rows, "doc_id long, text string")
-        assert got(df) == wanted(rows)
-    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in near_dedup.near_duplicates(df, sketch=None).collect()) == wanted(rows)
+        sketch = None if size == 100 else near_dedup.SKETCH
+        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in near_dedup.near_duplicates(df, sketch=sketch).collect()) == wanted(rows)
 
 
 def test_duplicates_by_row(spark, odd):
