@@ -46,7 +46,8 @@ def after(words: Column, at: Column, most: Column) -> Column:
 def agreeing(a: Column, b: Column) -> Column:
     """How many words two arrays have in common from the start."""
     same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))  # the longer one's rest meets null
-    return F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(same).cast("long"))
+    first = F.array_position(same, F.lit(False))
+    return F.when(first > 0, first - 1).otherwise(F.size(same).cast("long"))
 
 
 def keys(items: DataFrame, words: DataFrame, hint) -> tuple[DataFrame, DataFrame]:
@@ -81,9 +82,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int) -> tuple[DataFram
     if not few:
         met = met.alias("m").join(docs.dropDuplicates(["row"]).alias("d"), F.col("m.row") == F.col("d.row")).select("m.*", "d.words")
     most = F.col("length") - 1
-    left, right = agreeing(before(F.col("words"), F.col("pos"), most), F.col("left")), agreeing(after(F.col("words"), F.col("pos"), most), F.col("right"))
-    found = met.select("row", "id", "pos", "length", left.alias("l"), right.alias("r")).where("l + r + 1 >= length")
-    return found.select("row", "id", (F.col("pos") - F.col("l")).alias("start"), (F.col("l") + F.col("r") + 1).alias("length")), owners
+    # the neighbours alone go on: rows that kept the whole text's words would be as long as it, one for each place
+    beside = met.select("row", "id", "pos", "length", "left", "right", before(F.col("words"), F.col("pos"), most).alias("own_left"), after(F.col("words"), F.col("pos"), most).alias("own_right"))
+    left, right = agreeing(F.col("own_left"), F.col("left")), agreeing(F.col("own_right"), F.col("right"))
+    stretch = F.array(F.struct((F.col("pos") - left).alias("start"), (left + right + 1).alias("length")))
+    # exploded, not filtered: a filter would move into the join and make it hold all rows of a text with its words at once
+    hits = beside.select("row", "id", F.explode(F.filter(stretch, lambda m: m["length"] >= F.col("length"))).alias("m"))
+    return hits.select("row", "id", "m.start", "m.length"), owners
 
 
 def covered(spans: Column) -> Column:
