@@ -91,3 +91,21 @@ def test_every_language_keeps_its_words():
             prob = {p: (u + 0.01) / (total_ + 0.01 * len(names)) for p, u in uses.items()}
         langs, got = language.learn(counts, pieces)
         assert np.allclose(got[:, langs.index(lang)], [prob[p] for p in names])
+
+
+def test_memory_is_bounded_by_run_and_table(spark):
+    """Many languages and new words in each text: neither a batch's forward sums nor the words kept may add up."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 12))
+    rows = [(i, f"{word()} {word()}", f"l{i % 40}") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model, texts = language.fit(df, MODEL), [" ".join(word() for _ in range(100)) for _ in range(250)]
+    model.open()
+    tracemalloc.start()
+    got = model.texts(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6, peak
+    assert got == [x for t in texts for x in model.texts([t])]

@@ -28,7 +28,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _powers.get("up")
     if have is None or len(have) < n:
-        size = max(_SPAN, 1 << (n - 1).bit_length()) + 1
+        size = max(1 << 16, 1 << (n - 1).bit_length()) + 1
         for key, base in (("up", _BASE), ("down", _INV)):
             a = np.full(size, U64(base), np.uint64)
             a[0] = 1

@@ -32,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._arrow import arrow_schema, batch, few_rows, located, mapped
+from ._arrow import arrow_schema, batch, few_rows, located, mapped, release
 from ._words import U64, prefix, span
 
 SAMPLE, WORDS, LONGEST, LANGUAGES = 2000, 25_000, 64, 1000
 ROUNDS, FLOOR, LONG, MARK = 3, 1e-9, 32, "▁"
 PREDICTED = "doc_id long, lang_pred string, score double, n_words long"
 _BITS, _SPREAD = 18, U64(0xD6E8FEB86659FD93)
+#: A worker goes through its texts in runs of about so many characters, and keeps tables of about so many bytes.
+RUN, TABLE = 1 << 17, 1 << 22
 
 
 def _class(kinds: str) -> str:
@@ -78,7 +80,7 @@ class Pieces:
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], order
         bucket = (self.keys >> np.uint64(64 - _BITS)).astype(np.int64)
-        self.first = np.searchsorted(bucket, np.arange(1 << _BITS))
+        self.first = np.searchsorted(bucket, np.arange(1 << _BITS)).astype(np.int32)
         self.full = np.bincount(bucket, minlength=1 << _BITS) > 0
         self.deep = int(np.bincount(bucket).max())
 
@@ -202,34 +204,60 @@ def _step(words: list[bytes], weight: np.ndarray, found: list, prob: np.ndarray)
     return (expected + 0.01) / (expected.sum() + 0.01 * len(prob))
 
 
+def runs(texts: list[str | None]) -> Iterator[list[list[str]]]:
+    """The words of each text, in runs of texts."""
+    run, size = [], 0
+    for t in texts:
+        run.append(split(t))
+        size += len(t or "")
+        if size >= RUN:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 class Model:
-    """Piece probabilities by language. Words' log probabilities are kept, a bounded number of them."""
+    """Pieces and their probabilities by language. Words' log probabilities are kept, a bounded number of them."""
 
-    KEEP = 200_000
+    KEEP = 100_000
 
-    def __init__(self, path: str, langs: list[str], prob: np.ndarray) -> None:
-        self.path, self.langs, self.prob = path, langs, prob
+    def __init__(self, pieces: Pieces, langs: list[str], prob: np.ndarray) -> None:
+        self.pieces, self.langs, self.prob = pieces, langs, prob
 
     def open(self) -> None:
-        self.pieces, self.row, self.table = Pieces(vocabulary(self.path)), {}, [np.zeros((0, len(self.langs)))]
+        wide = 8 * max(1, len(self.langs))
+        self.keep, self.part = min(self.KEEP, TABLE // wide), max(1, TABLE // (wide * (LONG + 1)))
+        self.row, self.table = {}, np.empty((self.keep, len(self.langs)))
+
+    def close(self) -> None:
+        self.row, self.table = {}, None
+        release()
+
+    def _learn(self, words: set[str]) -> None:
+        """See that the words are in the table."""
+        new = list(words.difference(self.row))
+        if len(self.row) + len(new) > self.keep:
+            self.row, new = {}, list(words)
+            if len(new) > len(self.table) or len(self.table) > self.keep:
+                self.table = np.empty((max(self.keep, len(new)), len(self.langs)))
+        for at in range(0, len(new), self.part):
+            part, first = new[at : at + self.part], len(self.row)
+            self.row.update(zip(part, range(first, first + len(part)), strict=True))
+            self.table[first : first + len(part)] = forward([(MARK + w).encode("utf-8", "replace") for w in part], self.pieces, self.prob)
 
     def texts(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
-        if len(self.row) > self.KEEP:
-            self.row, self.table = {}, [np.zeros((0, len(self.langs)))]
-        words_of = [split(t) for t in texts]
-        new = list(set().union(*words_of).difference(self.row))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.row.update(zip(part, range(len(self.row), len(self.row) + len(part)), strict=True))
-            self.table.append(forward([(MARK + w).encode("utf-8", "replace") for w in part], self.pieces, self.prob))
-        self.table = [table := np.concatenate(self.table)]
+        return [x for run in runs(texts) for x in self._run(run)]
+
+    def _run(self, words_of: list[list[str]]) -> list[tuple[str, float, int]]:
+        self._learn(set().union(*words_of))
         out = []
         for words in words_of:
             n = len(words)
             if not self.langs or not n:
                 out.append(("und", 0.0, n))
                 continue
-            logs = table[list(map(self.row.__getitem__, words))].sum(0)
+            logs = self.table[list(map(self.row.__getitem__, words))].sum(0)
             best = int(np.argmax(logs))
             # the posterior at the weight of four words: long texts don't all saturate
             out.append((self.langs[best], float(1 / np.exp((logs - logs[best]) * min(1.0, 4 / n)).sum()), n))
@@ -248,14 +276,16 @@ def fit(docs: DataFrame, model_path: str, sample: int = SAMPLE, words: int = WOR
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = Counter((lang, w) for lang, text in zip(*(c.to_pylist() for c in b.columns), strict=True) for w in split(text) if len(w.encode("utf-8", "replace")) <= longest)
-            yield batch([*(zip(*n, strict=True) if n else ([], [])), list(n.values())], shape)
+            for langs, texts in ((b.column(0)[at : at + 64], b.column(1)[at : at + 64]) for at in range(0, b.num_rows, 64)):
+                n = Counter((lang, w) for lang, text in zip(langs.to_pylist(), texts.to_pylist(), strict=True) for w in split(text) if len(w.encode("utf-8", "replace")) <= longest)
+                yield batch([*(zip(*n, strict=True) if n else ([], [])), list(n.values())], shape)
+        release()
 
     totals = mapped(chosen.select("lang", "text"), count, counted).groupBy("lang", "word").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     rows = totals.withColumn("r", F.row_number().over(order)).where(F.col("r") <= words).toArrow()
-    langs, prob = learn(list(zip(*(rows[c].to_pylist() for c in ("lang", "word", "n")), strict=True)), Pieces(vocabulary(model_path)))
-    return Model(model_path, langs, prob)
+    pieces = Pieces(vocabulary(model_path))
+    return Model(pieces, *learn(list(zip(*(rows[c].to_pylist() for c in ("lang", "word", "n")), strict=True)), pieces))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -267,6 +297,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         model.open()
         for b in batches:
             yield batch([b.column(0), *zip(*model.texts(b.column(1).to_pylist()), strict=True)], shape) if b.num_rows else batch([[], [], [], []], shape)
+        model.close()
 
     return mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, PREDICTED)
 
@@ -281,5 +312,6 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
         for b in batches:
             found = model.texts(b.column(at).to_pylist()) if b.num_rows else []
             yield b.filter(pa.array([lang != "und" and score >= least for lang, score, _ in found], pa.bool_()))
+        model.close()
 
     return mapped(docs, run, docs.schema)
