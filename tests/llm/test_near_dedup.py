@@ -120,3 +120,25 @@ def test_hot_keys_are_dealt_and_nothing_else_changes(spark, monkeypatch):
         got = _shared.meet(rows, counted, "k")
         assert got.columns == ["k", "id", "more", "first"] and sorted(map(tuple, got.select("k", "id", "first").collect())) == want
         assert _shared.meet(rows, counted, "k", "left_semi").count() == len(want)
+
+
+def test_members_of_a_large_cluster_are_not_compared_with_all_around_it(spark, monkeypatch):
+    """Near copies of one text, and around them texts with a few more edits that link with none or few of them."""
+    rng = random.Random(3)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(100)]
+    rows = []
+    for i in range(400):
+        t = list(base)
+        for _ in range(rng.randrange(0, 5) if i < 300 else rng.randrange(5, 10)):
+            t[rng.randrange(len(t))] = f"u{rng.randrange(10**6)}" if rng.random() < 0.7 else f"c{rng.randrange(60)}"
+        rows.append((i, " ".join(t)))
+    rng.shuffle(rows)
+    pairs, compared = [], near_dedup._Corpus.compared
+
+    def counted(self, df):
+        pairs.append(df.select("a", "b").distinct().count())
+        return compared(self, df)
+
+    monkeypatch.setattr(near_dedup._Corpus, "compared", counted)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == wanted(rows)
+    assert sum(pairs) < 10 * len(rows), pairs

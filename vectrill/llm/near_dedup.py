@@ -11,7 +11,8 @@ value's place in both orders must lie in the then shorter heads. Rarity is a cou
 a fixed total order of fixed size, whatever the corpus. With ``sketch=None`` sketches are whole sets: no link can be lost.
 
 Pairs. A group of thousands of near copies, or of texts around one passage that stay below the threshold, must not be
-compared pair by pair. First the classes of a list are compared with its smallest only.
+compared pair by pair. First the classes of a list are compared with one only,
+that with the fewest values of its own.
 Those linked to it are members of its cluster, each with a known difference. Then lists that hold several components
 give pairs of clusters, of which only the centres are compared. ``|a & b| <= |A & B| + |a - A| + |b - B|`` rules out the
 members of most; only members that it can't rule out are compared themselves. So no link between different texts is
@@ -106,6 +107,12 @@ def enough(n: Column, m: Column, percent: int) -> Column:
     return F.ceil((n + m) * percent / (100 + percent))
 
 
+def within(place: Column, n: Column, m: Column, other: Column, k: int, percent: int) -> Column:
+    """Whether a value at this place or later of a set of size n at most may be the first that it shares with a linked one of
+    size m at least, and of size ``other`` at most. Sketches that aren't whole sets don't rule it out."""
+    return (F.greatest(n, other) > k) | (place <= n - enough(n, m, percent) + 1)
+
+
 def overlap(a: np.ndarray, b: np.ndarray, n: int, m: int, k: int) -> tuple[int, int]:
     """(size of intersection or -1, what it is at most) from two sketches: exact if they are whole sets."""
     both = np.intersect1d(a, b, True)
@@ -177,7 +184,11 @@ class _Corpus:
         return out.reshape(-1)
 
     def lists(self) -> DataFrame:
-        """value, cls, n, place of the classes in the lists that hold several, and head (cls, n, place), the smallest."""
+        """value, cls, n, place of the classes in the lists that hold several, and head (rare, cls, n, place), the first.
+
+        A class with few values of its own in its head (``rare``) comes first: most copies of a text are as near to it as
+        they can be, while an arbitrary one among them is apart from many.
+        """
         common, k, percent = self.rarity(), self.k, self.percent
 
         def heads(b: pa.RecordBatch, seen: set):
@@ -204,26 +215,26 @@ class _Corpus:
         shared = Cut(mapped(kept, values, "value long").groupBy("value").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("value"), "values")
         likely = Mask(shared.df, "value")
         shared.drop()
-        listed = "value long, cls long, n long, place int"
+        listed = "value long, cls long, n long, place int, rare int"
         list_shape = arrow_schema(listed)
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
             for b in batches:
-                vs, cs, ns, ps = [], [], [], []
+                vs, cs, ns, ps, rs = [], [], [], [], []
                 for cls, n, v, place in heads(b, seen):
                     use = likely.has(v)
                     vs.append(v[use])
                     ps.append(place[use])
                     cs.append(np.full(len(vs[-1]), cls))
                     ns.append(np.full(len(vs[-1]), n))
-                yield batch([np.concatenate(vs).view(np.int64), *map(np.concatenate, (cs, ns, ps))] if vs else [[]] * 4, list_shape)
+                    rs.append(np.full(len(vs[-1]), min(n, k) - needed(n, k, percent) + 1 - len(vs[-1])))
+                yield batch([np.concatenate(vs).view(np.int64), *map(np.concatenate, (cs, ns, ps, rs))] if vs else [[]] * 5, list_shape)
 
         once = Cut(mapped(kept, rows, listed).distinct(), "lists")
-        head = F.min(F.struct("cls", "n", "place")).alias("head")
-        heads_ = once.df.groupBy("value").agg(head, F.max("cls").alias("hi"), F.count(F.lit(1)).alias("n")).where("head.cls != hi").drop("hi")
-        heads_ = Counted(heads_, "heads")
-        out = Cut(meet(once.df, heads_, "value"), "lists")
+        head = F.min(F.struct("rare", "cls", "n", "place")).alias("head")
+        heads_ = Counted(once.df.groupBy("value").agg(head, F.count(F.lit(1)).alias("n")).where("n > 1"), "heads")
+        out = Cut(meet(once.df.drop("rare"), heads_, "value"), "lists")
         once.drop()
         heads_.drop()
         forget(out.spark)
@@ -337,7 +348,7 @@ def labels(corpus: _Corpus) -> DataFrame:
     linked = Cut(corpus.compared(stars.select(c("cls").alias("a"), c("head.cls").alias("b"))).where("linked"), "stars").df
     label = components(linked)
 
-    # A cluster is a class that has linked with no smaller one, and those that have linked with it.
+    # A cluster is a class that has linked with none before it (by ``rare``, then cls), and those that have linked with it.
     outer = linked.select(c("a").alias("b")).distinct().withColumn("outer", F.lit(True))
     closest = F.max_by(F.struct(c("b").alias("centre"), (c("n") - c("most")).alias("own")), F.struct("most", -c("b"))).alias("best")
     member = linked.join(outer, "b", "left").where("outer IS NULL").groupBy(c("a").alias("cls")).agg(closest).select("cls", "best.*")
@@ -359,7 +370,8 @@ def labels(corpus: _Corpus) -> DataFrame:
     if k < 1 << 40:
         shared = F.when(F.greatest("x.n2", "y.n2") > k, F.least(shared, F.lit(max(1, sampled(k, percent / 100))))).otherwise(shared)
     loose = lambda s: c(f"{s}.place") <= F.least(c(f"{s}.n2"), F.lit(k)) - shared + 1
-    can = F.when(single, corpus.meets(c("x.n1"), c("x.place"), c("y.n1"), c("y.place"))).otherwise(sizes & loose("x") & loose("y"))
+    first = lambda s, o: within(c(f"{s}.place"), c(f"{s}.n2"), c(f"{o}.n1"), c(f"{o}.n2"), k, percent)
+    can = F.when(single, corpus.meets(c("x.n1"), c("x.place"), c("y.n1"), c("y.place"))).otherwise(sizes & loose("x") & loose("y") & first("x", "y") & first("y", "x"))
     met = x.join(y, (c("x.value") == c("y.value")) & (c("x.centre") < c("y.centre")) & (c("x.label") != c("y.label")) & can)
     centres = corpus.compared(met.select(c("x.centre").alias("a"), c("y.centre").alias("b")))
     new = Cut(centres.where("linked").select("a", "b"), "links", rows=F.count(F.lit(1)))
@@ -367,16 +379,28 @@ def labels(corpus: _Corpus) -> DataFrame:
 
     # Members that the bound can't rule out, of clusters that are still apart.
     again = components(joined) if new.found["rows"] else label
-    members = Cut(mixed.select("cls", "n", "centre", "own").distinct(), "members").df
+    # Wherever two of them meet, it is at their first places here or later, so these rule out pairs as places in a list do.
+    members = Cut(mixed.groupBy("cls", "n", "centre", "own").agg(F.min("place").alias("place")), "members").df
     extreme = members.groupBy("centre").agg(F.max("own").alias("own"), F.min("n").alias("n1"), F.max(c("cls") != c("centre")).alias("wide"))
     side = lambda s: extreme.select(c("centre").alias(s), c("own").alias(f"own_{s}"), c("n1").alias(f"n_{s}"), c("wide").alias(f"wide_{s}"))
     apart = _labelled(_labelled(centres.where("NOT linked").select("a", "b", "most"), again, "a", "label_a"), again, "b", "label_b").where("label_a != label_b")
     apart = apart.join(side("a"), "a").join(side("b"), "b").where("wide_a OR wide_b").where(c("most") + c("own_a") + c("own_b") >= enough(c("n_a"), c("n_b"), percent))
-    near_it = lambda s, other: apart_.join(members.select(c("centre").alias(s), F.struct("cls", "n", "own").alias("m")), s).where(c("most") + c("m.own") + c(f"own_{other}") >= enough(c("m.n"), c(f"n_{other}"), percent))
     apart_ = Cut(apart.select("a", "b", "most", "own_a", "own_b", "n_a", "n_b"), "apart").df
-    left, right = near_it("a", "b").select("a", "b", "most", c("m").alias("x")), near_it("b", "a").select("a", "b", c("m").alias("y"))
+
+    # Only members that meet the other cluster in a list themselves, at a place that a link allows.
+    kinds = lambda s: [c(f"{s}.{x}").alias(f"{s}_{x}") for x in ("n1", "n2", "place")]
+    places = Cut(met.select("x.value", c("x.centre").alias("a"), c("y.centre").alias("b"), *kinds("x"), *kinds("y")).join(apart_.select("a", "b"), ["a", "b"], "left_semi"), "places").df
+
+    def near_it(s: str, other: str, o: str) -> DataFrame:
+        there_ = mixed.select("value", c("centre").alias(s), "cls", c("n").alias("size"), c("place").alias("at"))
+        here = within(c("at"), c("size"), c(f"{o}_n1"), c(f"{o}_n2"), k, percent) & within(c(f"{o}_place"), c(f"{o}_n2"), c("size"), c("size"), k, percent)
+        seen = places.join(there_, ["value", s]).where(here).select("a", "b", "cls").distinct()
+        found = apart_.join(seen, ["a", "b"]).join(members.select("cls", F.struct("cls", "n", "own", "place").alias("m")), "cls")
+        return found.where(c("most") + c("m.own") + c(f"own_{other}") >= enough(c("m.n"), c(f"n_{other}"), percent))
+
+    left, right = near_it("a", "b", "y").select("a", "b", "most", c("m").alias("x")), near_it("b", "a", "x").select("a", "b", c("m").alias("y"))
     bound = c("most") + c("x.own") + c("y.own") >= enough(c("x.n"), c("y.n"), percent)
-    rest = left.join(right, ["a", "b"]).where(bound & corpus.near(c("x.n"), c("y.n")) & ((c("x.cls") != c("a")) | (c("y.cls") != c("b"))))
+    rest = left.join(right, ["a", "b"]).where(bound & corpus.meets(c("x.n"), c("x.place"), c("y.n"), c("y.place")) & ((c("x.cls") != c("a")) | (c("y.cls") != c("b"))))
     more = Cut(corpus.compared(rest.select(c("x.cls").alias("a"), c("y.cls").alias("b"))).where("linked").select("a", "b"), "links", rows=F.count(F.lit(1)))
     return components(joined.union(more.df)) if more.found["rows"] else again
 
