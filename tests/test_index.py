@@ -288,3 +288,20 @@ def test_dissimilarity_recall_shapes_and_files(spark, tmp_path, caplog):
     (tmp_path / "bad/meta/part-0.parquet").write_bytes(b"no table")
     with pytest.raises(OSError, match="bad"):
         VectorIndex.load(spark, f"{at}/bad")
+
+
+def test_full_budget_is_cut_in_the_tasks(spark, monkeypatch):
+    """A budget of all points sends k rows of a query from each task, not all; so does the joined search."""
+    m = np.random.default_rng(5).standard_normal((3000, 64))
+    m[2000:] = m[:1000]  # ties
+    points, queries = frame(spark, m).coalesce(2), frame(spark, m[:30], 0, ("query_id", "q"))
+    index = VectorIndex(points, Parameters(4, 64, 8, 16, distance="l2")).build()
+    want = sorted(map(tuple, index.exact_search(queries, 5).collect()))
+    tasks = index.points.rdd.getNumPartitions()
+    assert index._scanned(queries, 3000, 4, 5).count() <= 30 * 5 * tasks
+    assert sorted(map(tuple, index.search(queries, 5, 4, 3000).collect())) == want
+    monkeypatch.setattr("vectrill.operators.index.HELD", 7 * 2500)  # partial budgets, few queries at a time
+    some = sorted(map(tuple, index.search(queries, 5, 4, 2500).collect()))
+    monkeypatch.setattr(knn, "BYTES", 1000)
+    assert sorted(map(tuple, index.search(queries, 5, 4, 3000).collect())) == want
+    assert sorted(map(tuple, index.search(queries, 5, 4, 2500).collect())) == some
