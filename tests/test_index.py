@@ -321,3 +321,15 @@ def test_recall_at_a_fixed_budget(spark, monkeypatch):
     assert knn.compute_recall(index.search(queries, 10, 7, 50, recall=0.9), exact) >= 0.9
     with pytest.raises(ValueError):
         index.search(queries, 10, 7, 50, recall=1.5)
+
+
+@pytest.mark.parametrize("distance", ["l2", "ip", "cosine"])
+def test_sql_plan_takes_queries_by_blocks(spark, distance):
+    m = np.random.default_rng(7).standard_normal((400, 12))
+    m[300:] = m[:100]  # ties
+    points, queries = frame(spark, m), frame(spark, m[:25], 0, ("query_id", "q"))
+    want = sorted(map(tuple, knn.exact_knn(points, queries, 4, distance).collect()))
+    assert sorted(map(tuple, knn.knn_join(points, queries, 4, distance, broadcast_rows=10).collect())) == want
+    if distance == "l2":
+        with pytest.raises(Exception, match="components"):
+            knn.knn_join(points.withColumn("v", F.when(F.col("id") == 3, F.slice("v", 1, 11)).otherwise(F.col("v"))), queries, 4, distance).count()

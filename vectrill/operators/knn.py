@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import DISTANCES, IP, COSINE, dissimilarity, matrix, pair_distance, prepared
+from ..functions.vectors import COSINE, DISTANCES, HAMMING, IP, L2, dissimilarity, doubles, matrix, normalised, pair_distance, prepared
 from .topk import least, top_k
 
-BYTES, BLOCK, BATCH = 64 << 20, 1024, 2048
+BYTES, BLOCK, BATCH, WIDE = 64 << 20, 1024, 2048, 96
 FOUND = "query_id long, id long, distance double"
 _SHAPE = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
 
@@ -109,13 +109,57 @@ def _best(query: np.ndarray, item: np.ndarray, value: np.ndarray, k: int) -> tup
 
 
 def knn_join(points: DataFrame, queries: DataFrame, k: int, distance: str = IP, broadcast_rows: int = 10_000) -> DataFrame:
-    """The same as one SQL plan of built-in functions; refuses more queries than may be broadcast."""
+    """The same as one SQL plan of built-in functions; at most ``broadcast_rows`` queries are broadcast at a time, by blocks.
+
+    All pairs are compared, but few are ranked: first each query meets about the square root of k times the number of points,
+    and its k-th distance there bounds what it takes from all points, again that number. Vectors of up to ``WIDE`` numbers
+    lie in columns, so that distances are compiled; wider ones and bits are folded by higher-order functions.
+    """
     validate(k, distance)
-    if queries.count() > broadcast_rows:
-        raise ValueError(f"more than {broadcast_rows} queries: use exact_knn, which takes them in blocks")
-    points, queries = points.where("v IS NOT NULL"), queries.where("q IS NOT NULL")
-    pairs = points.crossJoin(F.broadcast(queries)).select("query_id", "id", dissimilarity(F.col("q"), F.col("v"), distance).alias("distance"))
-    return top_k(pairs, "query_id", "distance", "id", k).select("query_id", "rank", "id", "distance")
+    points = points.where("v IS NOT NULL").select(F.col("id").cast("long").alias("id"), "v")
+    queries = queries.where("q IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), "q")
+    asked = queries.agg(F.count(F.lit(1)), F.min(F.size("q"))).first()
+    n, width = points.count(), asked[1] or 0
+    columns = distance != HAMMING and 0 < width <= WIDE
+    points, queries = (_columns(df, x, width, distance, columns) for df, x in ((points, "v"), (queries, "q")))
+    if columns:
+        term = lambda i: (F.col(f"v{i}") - F.col(f"q{i}")) * (F.col(f"v{i}") - F.col(f"q{i}")) if distance == L2 else F.col(f"v{i}") * F.col(f"q{i}")
+        value = F.lit(0.0)
+        for i in range(width):
+            value = value + term(i)
+        value = value if distance == L2 else -value
+    else:
+        value = dissimilarity(F.col("q"), F.col("v"), HAMMING if distance == HAMMING else L2 if distance == L2 else IP)
+    # many tasks, each with few of the points
+    parts = max(4 * points.sparkSession.sparkContext.defaultParallelism, -(-n // 20_000))
+    points, blocks = points.repartition(parts), -(-asked[0] // broadcast_rows)
+    every, out = max(1, round((n / k) ** 0.5)), None
+    for b in range(max(1, blocks)):
+        some = queries if blocks < 2 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        if every > 1:
+            few = points.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(every)) == 0)
+            near = few.crossJoin(F.broadcast(some)).select("query_id", "id", value.alias("distance"))
+            edge = top_k(near, "query_id", "distance", "id", k).where(F.col("rank") == k).select(F.col("query_id").alias("of"), F.col("distance").alias("edge"))
+            some = some.join(F.broadcast(edge), F.col("query_id").eqNullSafe(F.col("of")), "left").drop("of").withColumn("edge", F.coalesce("edge", F.lit(float("inf"))))
+            pairs = points.join(F.broadcast(some), value <= F.col("edge"))
+        else:
+            pairs = points.crossJoin(F.broadcast(some))
+        found = pairs.select("query_id", "id", value.alias("distance"))
+        out = found if out is None else out.union(found)
+    return top_k(out, "query_id", "distance", "id", k).select("query_id", "rank", "id", "distance")
+
+
+def _columns(df: DataFrame, name: str, width: int, distance: str, columns: bool) -> DataFrame:
+    """Vectors of one width as columns of numbers that can't be null, or as they are; others are errors."""
+    v = F.col(name)
+    bad = F.when(F.size(v) != width, F.raise_error(F.lit(f"vectors must have {width} components")).cast("boolean"))
+    bad = bad.when(F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf"))), F.raise_error(F.lit("vectors must hold numbers")).cast("boolean"))
+    df = df.where(bad.otherwise(F.lit(True)))
+    if distance == COSINE:
+        df = df.withColumn(name, normalised(v))
+    if not columns:
+        return df
+    return df.select(df.columns[0], *[F.coalesce(F.get(doubles(v), F.lit(i)), F.lit(0.0)).alias(f"{name}{i}") for i in range(width)])
 
 
 def recall(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:
